@@ -6,17 +6,68 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import mixing, quality, sharding, simhash, tokens
 from .shared import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=3, radius=3)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), alpha=0.5)
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+OP4_SQL = """
+WITH RECURSIVE docs AS (SELECT *, coalesce(source, '') AS mix_source FROM documents),
+counts AS (SELECT mix_source, count(*) AS n_rows FROM docs GROUP BY 1),
+rates AS (
+    SELECT mix_source, (SELECT count(*) FROM docs)::DOUBLE * pow(n_rows::DOUBLE, 0.5) / (SELECT sum(pow(n_rows::DOUBLE, 0.5)) FROM counts) / n_rows AS rate
+    FROM counts
+),
+steps AS (
+    SELECT mix_source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM rates
+    UNION ALL
+    SELECT mix_source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM steps WHERE k < rate + 12 * sqrt(rate) + 24
+),
+drawn AS (
+    SELECT d.*, (SELECT count(*) FROM steps s WHERE s.mix_source = d.mix_source
+        AND s.cdf <= ('0x' || substr(md5('42:' || coalesce(d.doc_id::VARCHAR, '') || ':1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)::INTEGER AS n_copies
+    FROM docs d
+),
+copies AS (SELECT * EXCLUDE (mix_source), unnest(range(n_copies))::INTEGER AS copy FROM drawn WHERE n_copies > 0)
+SELECT *, ('0x' || substr(md5('43:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key
+FROM copies
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_quality": op2_quality,
+        "op3_sharding": op3_sharding,
+        "op4_mixing": op4_mixing,
+        "op9_tokens": op9_tokens,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": OP4_SQL}
