@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, simhash, tokens
+from . import mixing, pii, quality, sharding, simhash, tokens
 from .shared import table
 
 
@@ -36,6 +36,10 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 OP4_SQL = """
 WITH RECURSIVE docs AS (SELECT *, coalesce(source, '') AS mix_source FROM documents),
 counts AS (SELECT mix_source, count(*) AS n_rows FROM docs GROUP BY 1),
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_mixing": op4_mixing,
         "op9_tokens": op9_tokens,
+        "op10_pii": op10_pii,
     }
 
 
