@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality, sharding, simhash, tokens
+from . import contamination, mixing, pii, quality, sharding, simhash, tokens
 from .shared import table
 
 
@@ -32,6 +32,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), alpha=0.5)
 
 
+def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
@@ -63,16 +67,42 @@ FROM copies
 """
 
 
+OP8_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+    FROM documents
+),
+items AS (
+    SELECT item_id, words FROM (
+        SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+        FROM benchmark
+    ) WHERE len(words) > 0
+),
+cut AS (SELECT item_id, words, unnest(range(greatest(len(words) - 12, 1))) AS i0 FROM items),
+windows AS (SELECT DISTINCT item_id, least(len(words), 13) AS size, array_to_string(words[i0 + 1 : i0 + 13], ' ') AS phrase FROM cut),
+sizes AS (SELECT DISTINCT size FROM windows),
+starts AS (SELECT doc_id, size, words, unnest(range(len(words) - size + 1)) AS i0 FROM docs, sizes WHERE len(words) >= size),
+grams AS (SELECT doc_id, size, i0, array_to_string(words[i0 + 1 : i0 + size], ' ') AS phrase FROM starts),
+found AS (SELECT doc_id, i0, g.size, item_id FROM grams g JOIN windows w ON g.size = w.size AND g.phrase = w.phrase),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i0, i0 + size)) AS pos FROM found) GROUP BY 1),
+own AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM found GROUP BY 1)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_quality": op2_quality,
         "op3_sharding": op3_sharding,
         "op4_mixing": op4_mixing,
+        "op8_contamination": op8_contamination,
         "op9_tokens": op9_tokens,
         "op10_pii": op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL}
+    return {"op4_mixing": OP4_SQL, "op8_contamination": OP8_SQL}
