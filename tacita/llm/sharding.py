@@ -59,14 +59,16 @@ def _range_of(cuts: list[tuple[int, int]]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
 
-def range_shards(keys: DataFrame, shards: int = 24, ranges_per_shard: int = RANGES_PER_SHARD, samples: int = SAMPLES_PER_RANGE) -> DataFrame:
+def range_shards(keys: DataFrame, shards: int = 24, ranges_per_shard: int = RANGES_PER_SHARD, samples: int = SAMPLES_PER_RANGE, rows: DataFrame | None = None) -> DataFrame:
     """keys(k1, k2, size, ...) of longs -> the same rows with shard (0 to shards - 1) and slot (gapless from 0).
 
     Sampled splitters range-partition the rows in the order of (k1, k2); a range over OVERFULL times its share is
     sampled again and divided. Exact sums of each range then place every row on the line of all bytes, and a row goes
     to the shard in whose equal part of that line it starts. So shards are ranges of the key whose sizes differ by one
     row at most, whatever the sample; the sample only decides how evenly the work is dealt out. Rows equal in both
-    keys stay together in one range and get consecutive slots."""
+    keys stay together in one range and get consecutive slots.
+
+    rows, if given, are the same rows with more columns; they are read and moved once, and returned in place of keys."""
     total, n = keys.agg(F.sum("size"), F.count("*")).first()
     total = int(total or 0)
     want = max(1, min(max(shards * ranges_per_shard, min(total // RANGE_BYTES, MOST_RANGES)), n // 64))
@@ -85,37 +87,48 @@ def range_shards(keys: DataFrame, shards: int = 24, ranges_per_shard: int = RANG
         if more <= set(cuts):
             break
         cuts = sorted({*cuts, *more})
-    parts = keys.withColumn("range", _range_of(cuts))
-    # One row per range: at most a few thousand, whatever the input.
-    sums = parts.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    # One row per range: a bounded number, whatever the input.
+    sums = keys.withColumn("range", _range_of(cuts)).groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("range", F.coalesce(F.sum("bytes").over(order), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("rows_before"))
+    before = written(before, "ranges")
+    placed = _place(keys, cuts, before, total, shards)
+    if rows is None:
+        placed = rows = written(placed, "placed")
+    else:
+        rows = _place(rows, cuts, before, total, shards)
+    first = placed.groupBy("shard").agg(F.min("at").alias("first"))
+    return rows.join(F.broadcast(first), "shard").withColumn("slot", (F.col("at") - F.col("first")).cast("long")).drop("at", "first")
+
+
+def _place(rows: DataFrame, cuts: list[tuple[int, int]], before: DataFrame, total: int, shards: int) -> DataFrame:
+    """rows with shard and at, the row's number in the order of all."""
     inside = Window.partitionBy("range").orderBy("k1", "k2", "size")
     up = inside.rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        parts.withColumn("own_bytes", F.coalesce(F.sum("size").over(up), F.lit(0)))
-        .withColumn("own_rows", F.row_number().over(inside) - 1)
+    start = (F.col("bytes_before") + F.coalesce(F.sum("size").over(up), F.lit(0))).cast("decimal(38,0)")
+    return (
+        rows.withColumn("range", _range_of(cuts))
         .join(F.broadcast(before), "range")
-        .withColumn("start", F.col("bytes_before") + F.col("own_bytes"))
-        .withColumn("at", F.col("rows_before") + F.col("own_rows"))
-        .withColumn("shard", F.least(F.floor(F.col("start").cast("decimal(38,0)") * shards / F.lit(max(total, 1)).cast("decimal(38,0)")), F.lit(shards - 1)).cast("int"))
+        .withColumn("at", F.col("rows_before") + F.row_number().over(inside) - 1)
+        .withColumn("shard", F.least(F.floor(start * shards / F.lit(max(total, 1)).cast("decimal(38,0)")), F.lit(shards - 1)).cast("int"))
+        .drop("range", "bytes_before", "rows_before")
     )
-    placed = written(placed.drop("range", "own_bytes", "own_rows", "bytes_before", "rows_before", "start"), "placed")
-    first = placed.groupBy("shard").agg(F.min("at").alias("first"))
-    return placed.join(F.broadcast(first), "shard").withColumn("slot", (F.col("at") - F.col("first")).cast("long")).drop("at", "first")
 
 
 def shard_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, k1, k2): size is the UTF-8 bytes of the text plus 8, k1 a hash of the text and k2 the
     id, so that equal texts are neighbours and a group of copies, however large, can be divided."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("k1"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k2"),
-    )
+    text = _text(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.crc32(text.cast("binary")).alias("text_crc32"), *_key_columns(id_col, text_col))
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def _key_columns(id_col: str, text_col: str) -> list[Column]:
+    text = _text(text_col)
+    return [(F.octet_length(text) + 8).cast("long").alias("size"), F.xxhash64(text).alias("k1"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k2")]
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,3 +141,12 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     keys = written(shard_keys(docs, id_col, text_col), "keys")
     out = range_shards(keys, shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharded(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of docs with shard and slot, as shard_documents deals them; docs is moved once. Columns of docs with
+    these names are replaced."""
+    plain = docs.drop("shard", "slot")
+    wide = plain.select(F.struct(*(F.col(f"`{c}`") for c in plain.columns)).alias("row"), *_key_columns(id_col, text_col))
+    keys = written(plain.select(*_key_columns(id_col, text_col)), "keys")
+    return range_shards(keys, shards, rows=wide).select("row.*", "shard", "slot")

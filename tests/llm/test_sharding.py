@@ -52,3 +52,14 @@ def test_hot_group_empty_and_repeats(spark):
     out = sharding.shard_documents(docs_of(spark, [(1, "a", None, None)] * 9 + [(None, None, None, None)] * 3), 4).collect()
     assert len(out) == 12 and sum(r.size for r in out) == 9 * 9 + 3 * 8
     assert sharding.shard_documents(docs_of(spark, [(1, "v" * 10**6, None, None)]), 24).collect()[0].shard == 0
+
+
+def test_whole_rows_are_dealt_alike(spark):
+    rng = random.Random(3)
+    docs = docs_of(spark, [(i % 700, "b" * rng.randrange(60), f"old{i}", str(i)) for i in range(1500)])
+    out = sharding.sharded(docs, 6)
+    assert out.columns == ["doc_id", "text", "k1", "shard", "slot"]
+    rows = out.collect()
+    assert sorted(r.k1 for r in rows) == sorted(map(str, range(1500)))
+    lean = sharding.shard_documents(docs, 6).collect()
+    assert sorted((r.doc_id, r.shard, r.slot) for r in rows) == sorted((r.doc_id, r.shard, r.slot) for r in lean)
