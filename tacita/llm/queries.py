@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, mixing, pii, quality, sharding, simhash, tokens
+from . import contamination, mixing, pii, quality, sharding, simhash, substrings, tokens
 from .shared import table
 
 
@@ -32,6 +32,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), alpha=0.5)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50).drop("kept")
+
+
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -67,6 +71,24 @@ FROM copies
 """
 
 
+OP6_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+grams AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS p FROM docs)),
+firsts AS (SELECT g, min(doc_id) AS least FROM grams GROUP BY g),
+lost AS (SELECT DISTINCT doc_id, p FROM grams JOIN firsts USING (g) WHERE doc_id > least),
+marked AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM lost),
+runs AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(p) AS s, max(p) + 50 AS e FROM runs GROUP BY 1, 2),
+gaps AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM spans),
+parts AS (
+    SELECT doc_id, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) AS front, max(e) AS last, sum(e - s) AS n_removed, count(*) AS n_spans
+    FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs d LEFT JOIN parts USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH docs AS (
     SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
@@ -98,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_sharding": op3_sharding,
         "op4_mixing": op4_mixing,
+        "op6_substrings": op6_substrings,
         "op8_contamination": op8_contamination,
         "op9_tokens": op9_tokens,
         "op10_pii": op10_pii,
@@ -105,4 +128,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op8_contamination": OP8_SQL}
+    return {"op4_mixing": OP4_SQL, "op6_substrings": OP6_SQL, "op8_contamination": OP8_SQL}
