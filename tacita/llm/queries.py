@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import contamination, mixing, pii, quality, sharding, simhash, substrings, tokens
+from . import contamination, lines, mixing, pii, quality, sharding, simhash, substrings, tokens
 from .shared import table
 
 
@@ -36,6 +37,11 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50).drop("kept")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -121,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_mixing": op4_mixing,
         "op6_substrings": op6_substrings,
+        "op7_lines": op7_lines,
         "op8_contamination": op8_contamination,
         "op9_tokens": op9_tokens,
         "op10_pii": op10_pii,
