@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, lines, mixing, pii, quality, sharding, simhash, substrings, tokens
+from . import contamination, lines, mixing, pii, quality, scoring, sharding, simhash, substrings, tokens
 from .shared import table
 
 
@@ -33,6 +33,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), alpha=0.5)
 
 
+def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is the documents that are labelled as good."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    out = scoring.cross_entropy_difference(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+    return out.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50).drop("kept")
 
@@ -77,6 +84,24 @@ FROM copies
 """
 
 
+OP5_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target,
+           list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM documents
+),
+pairs AS (SELECT doc_id, target, unnest(list_concat(['<s> '], words)) AS a, unnest(list_concat(words, ['</s> '])) AS b FROM docs),
+firsts AS (SELECT a, count(*) FILTER (WHERE target)::DOUBLE AS ft, count(*)::DOUBLE AS fa FROM pairs GROUP BY a),
+twos AS (SELECT a, b, count(*) FILTER (WHERE target)::DOUBLE AS pt, count(*)::DOUBLE AS pa FROM pairs GROUP BY a, b),
+sizes AS (SELECT count(*)::DOUBLE AS v, sum(ft) / sum(fa) AS scale FROM firsts),
+losses AS (
+    SELECT a, b, -ln((pt + 0.1::DOUBLE) / (ft + 0.1::DOUBLE * v)) AS lt, -ln((pa * scale + 0.1::DOUBLE) / (fa * scale + 0.1::DOUBLE * v)) AS lb
+    FROM twos JOIN firsts USING (a), sizes
+)
+SELECT doc_id, count(*) AS n_tokens, round(avg(lt), 6) AS loss_target, round(avg(lb), 6) AS loss_background, round(avg(lt) - avg(lb), 6) AS score
+FROM pairs JOIN losses USING (a, b) GROUP BY doc_id
+"""
+
 OP6_SQL = """
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 grams AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS p FROM docs)),
@@ -126,6 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_sharding": op3_sharding,
         "op4_mixing": op4_mixing,
+        "op5_scoring": op5_scoring,
         "op6_substrings": op6_substrings,
         "op7_lines": op7_lines,
         "op8_contamination": op8_contamination,
@@ -135,4 +161,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op6_substrings": OP6_SQL, "op8_contamination": OP8_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_scoring": OP5_SQL, "op6_substrings": OP6_SQL, "op8_contamination": OP8_SQL}
