@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import CONTEXT_CHARS
 
@@ -40,7 +41,7 @@ def fold(value: str) -> str:
     return " ".join(bare.split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def comparable_exact(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """fold() itself, for scripts whose letters decompose otherwise."""
     for v in values:
