@@ -33,6 +33,8 @@ def matches(text: Column, pattern: Pattern, index: int) -> Column:
         return F.struct((start + F.length(p["value"])).alias("at"), F.when(kept, F.concat(s["out"], F.array(found))).otherwise(s["out"]).alias("out"))
 
     has = text.rlike(pattern.regex)
+    if pattern.gate:
+        has = text.rlike(pattern.gate) & has
     if pattern.hint:
         has = text.contains(pattern.hint) & has
     return F.when(has, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])).otherwise(empty)

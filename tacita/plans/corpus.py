@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import detect, grouping, replace
 from ..operators.patterns import CUSTOM_PATTERNS, Pattern, default_patterns, with_custom
 from ..sources import views
+from ..sources.staging import staged
 
 #: Rules of a corpus: (scope, type, mode, priority).
 DEFAULT_MODES: tuple[tuple[str, str | None, str, int], ...] = ()
@@ -36,7 +37,8 @@ def occurrences(docs: DataFrame, patterns: tuple[Pattern, ...] | None = None) ->
     page = views.pages(docs)
     found = detect.detect(page, patterns or corpus_patterns(), F.col("doc_id") % 5 == 0)
     found = found.withColumn("fragments", F.lit(None).cast("array<struct<x:double,y:double,width:double,height:double,rotation:int>>"))
-    return grouping.distinct_occurrences(grouping.numbered(found))
+    # Entities read the detections several times; the corpus is scanned for them once.
+    return staged(grouping.distinct_occurrences(grouping.numbered(found)), "occurrences")
 
 
 def anonymise(docs: DataFrame, patterns: tuple[Pattern, ...] | None = None, mode: str = "placeholder", seed: str = "0") -> Anonymised:
