@@ -409,7 +409,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.doc_id, a.seq, b.seq AS other_seq, CASE WHEN a.source <> b.source THEN 'disagree' ELSE 'overlap' END AS reason
     FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND b.seq < a.seq AND a.entity_type <> b.entity_type
     WHERE {SHARE} / least(a.width * a.height, b.width * b.height) > 0.5::DOUBLE)
-SELECT doc_id, seq, other_seq, reason FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY other_seq) AS n FROM met) WHERE n = 1""")
+SELECT doc_id, seq, other_seq, reason FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY other_seq, reason) AS n FROM met) WHERE n = 1""")
 def overlap_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first earlier box of another type that covers over half."""
     return grouping.overlap_conflicts(_boxes(spark, sf_dir))
@@ -587,3 +587,64 @@ def newest_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A25."""
     return report.progress(read_table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id")), 20).select("doc_id", F.col("current").cast("long").alias("current"), "share")
+
+
+# ---- layout and streams
+
+
+@query(f"""WITH {PAGES}, wide AS (SELECT doc_id, page_index, x - 6 AS x0, x + greatest(6.0 * length(text), 1) + 6 AS x1 FROM words),
+span AS (SELECT doc_id, page_index, least(greatest(floor(x0 / 595.0 * 64), 0), 63)::INTEGER AS c0, least(greatest(ceil(x1 / 595.0 * 64) - 1, 0), 63)::INTEGER AS c1 FROM wide),
+cols AS (SELECT DISTINCT doc_id, page_index, unnest(range(c0, greatest(c0, c1) + 1)) AS c FROM span)
+SELECT doc_id, page_index, count(*) * 4 AS n_cells FROM cols GROUP BY 1, 2""")
+def occupied_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of each page's grid that words take; a line of words takes four rows of cells."""
+    from ..operators import layout
+
+    w = views.words(views.pages(docs(spark, sf_dir)))
+    return layout.occupied_cells(w, views.PAGE_WIDTH, views.PAGE_HEIGHT).groupBy("doc_id", "page_index").agg(F.count("*").alias("n_cells"))
+
+
+@query(f"WITH {PAGES} SELECT doc_id, page_index, sum(word_index * (word_index + 1))::BIGINT AS mark, count(*) AS n_words FROM words GROUP BY 1, 2")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of a line are read from left to right; mark weighs each word's number by its place."""
+    from ..operators import layout
+
+    w = layout.reading_order(views.words(views.pages(docs(spark, sf_dir))))
+    return w.groupBy("doc_id", "page_index").agg(F.sum(F.col("word_index").cast("long") * (F.col("reading_index") + 1)).alias("mark"), F.count("*").alias("n_words"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, max(value) AS value FROM events GROUP BY 1")
+def latest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest request of each key with the highest priority."""
+    from ..streaming import sessions
+
+    return sessions.latest(read_table(spark, sf_dir, "events"), "user_id", "event_id", "value").select("user_id", "event_id", "value")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream with bounded batches, without repeats, drained into files."""
+    from ..sources.staging import folder
+    from ..streaming import sessions
+
+    s = sessions.table_stream(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return sessions.drained(sessions.distinct_stream(s, ["event_id"], "ts", "3650 days"), folder(spark, "events")).select("event_id", "user_id", "event_type")
+
+
+@query(f"WITH {GROUPS} SELECT doc_id, 'created' AS op, entity_type, canonical_value, index_in_type, n_members FROM groups")
+def streamed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detections as a stream with the ends of both detectors; the changes it sends at the barrier are the
+    entities of the batch."""
+    from ..sources.staging import folder
+    from ..streaming import sessions
+
+    o = occurrences(docs(spark, sf_dir))
+    box = F.struct(*(F.col(f"bbox.{n}").alias(n) for n in ("x", "y", "width", "height")))
+    found = o.select("doc_id", "seq", F.lit("found").alias("kind"), "entity_type", "page_index", "value", "normalized_value", "source", "confidence", box.alias("bbox"))
+    end = o.groupBy("doc_id").agg((F.max("seq") + 1).alias("seq"))
+    ends = [end.select("doc_id", "seq", F.lit(k).alias("kind")) for k in ("regex_finished", "ner_finished")]
+    rows = found.unionByName(ends[0], allowMissingColumns=True).unionByName(ends[1], allowMissingColumns=True)
+    path = folder(spark, "entities")
+    rows.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+    return sessions.drained(sessions.resolved(stream), path, "update").select("doc_id", "op", "entity_type", "canonical_value", "index_in_type", "n_members")

@@ -7,13 +7,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir; plans that read it several times compute it once, and a lost
-    executor costs nothing before it. A local session without that setting uses a temporary folder."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder under spark.checkpoint.dir. A local session without that setting uses a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark, "_tacita_staging", None)
@@ -22,6 +20,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = spark._tacita_staging = tempfile.mkdtemp(prefix="tacita-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
-    path = f"{base.rstrip('/')}/staged-{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/staged-{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table that is written once; plans that read it several times compute it once, and a lost executor
+    costs nothing before it."""
+    path = folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
