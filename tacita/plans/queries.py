@@ -648,3 +648,97 @@ def streamed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
     return sessions.drained(sessions.resolved(stream), path, "update").select("doc_id", "op", "entity_type", "canonical_value", "index_in_type", "n_members")
+
+
+# ---- inline cases, the same rows on both sides
+
+SAMPLES = [
+    (1, 0, "Titular: Juan Pérez, DNI 34.567.891, CUIT 20-34567891-4, malo 20-12345678-9."),
+    (1, 1, "al +54 11 1234-5678 o 011 4567-8902, MP-12345-6, patente ABC 123 o AB 123 CD o A 123 BCD, vence 15/3/30."),
+    (1, 2, "Autos: López, María Fernanda c/ Empresa, 7 de julio de 2026, Av. Corrientes 1234, IBAN ES91 2100 0418 4502 0005 1332"),
+    (1, 3, "domicilio real en San Martín 450, Matrícula Profesional: 4567, código A34.567.891"),
+]
+
+
+@query("""SELECT * FROM (VALUES (0, 'dni-ar', '34.567.891', '34567891'), (0, 'cuit-ar', '20-34567891-4', '20345678914'), (0, 'phone-mobile-ar', '20-12345678', '2012345678'), (1, 'phone-mobile-ar', '+54 11 1234-5678', '541112345678'),
+(1, 'phone-landline-ar', '011 4567-8902', '01145678902'), (1, 'license-ar', 'MP-12345-6', 'MP123456'), (1, 'plate-vieja-ar', 'ABC 123', 'ABC123'), (1, 'plate-mercosur-ar', 'AB 123 CD', 'AB123CD'),
+(1, 'plate-mercosur-moto-ar', 'A 123 BCD', 'A123BCD'), (1, 'date-ar', '15/3/30', '15/03/2030'), (2, 'caratula-ar', 'López, María Fernanda', 'maria fernanda lopez'), (2, 'date-textual-ar', '7 de julio de 2026', '07/07/2026'),
+(2, 'address-keyword-ar', 'Av. Corrientes 1234', 'av. corrientes 1234'), (2, 'iban', 'ES91 2100 0418 4502 0005 1332', 'ES9121000418450200051332'), (3, 'address-keyword-ar', 'San Martín 450', 'san martin 450'),
+(3, 'license-ar', '4567', '4567')) v(page_index, pattern_id, value, normalized_value)""")
+def pattern_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 to R4, R6, R8 to R15, F8 to F12, P1, P2 on cases whose results are known."""
+    page = spark.createDataFrame(SAMPLES, "doc_id long, page_index int, text string")
+    return detect.detect(page, corpus_patterns(("maria",))).select("page_index", "pattern_id", "value", "normalized_value")
+
+
+LEXICON = [(1, "María", "F"), (2, "Juan", "M"), (3, "Cruz", "A"), (4, "JUAN", "M"), (5, "Ariel", "F"), (6, "ariel", "M"), (7, "J.", "M"), (8, "X1", "F"), (9, "", "F"), (10, "Zoe", "Q"), (11, "María José", "F"), (12, "José", "M")]
+
+
+@query("SELECT * FROM (VALUES ('ariel', 'm'), ('cruz', 'ambiguous'), ('jose', 'm'), ('juan', 'm'), ('maria', 'f'), ('maria jose', 'f')) v(name, label)")
+def lexicon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of a name wins; names with dots or digits, without a known label or empty are left out."""
+    return views.lexicon_rows(spark.createDataFrame(LEXICON, "line long, name string, label string"))
+
+
+@query("SELECT * FROM (VALUES (1, 'f'), (2, 'm'), (3, 'f'), (4, NULL), (5, NULL), (6, 'm')) v(id, person_gender)")
+def person_genders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names but the last, else the first; initials and ambiguous names say nothing."""
+    people = spark.createDataFrame([(1, "María José Pérez"), (2, "Juan Pérez"), (3, "MARÍA Zeta Pérez"), (4, "Cruz Díaz"), (5, "J. Pérez"), (6, "juan")], "id int, canonical_value string")
+    return grouping.genders(people, lexicon_rows(spark, sf_dir)).select("id", "person_gender")
+
+
+@query("SELECT * FROM (VALUES (0, 9, 'PERSON', 0.8::DOUBLE, 'Ana Perez'), (13, 17, 'ORGANIZATION', 0.6, 'Acme')) v(start, \"end\", entity_type, confidence, value)")
+def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's tokens as spans."""
+    tokens = [("B-PER", 0.9, "Ana"), ("I-PER", 0.7, "Per"), ("B-PER", 0.8, "##ez"), ("O", 0.9, "de"), ("B-ORG", 0.6, "Ac"), ("I-LOC", 0.6, "##me"), ("O", 0.9, "/")]
+    rows = spark.createDataFrame([(1, 0, 0, k, e, s, w) for k, (e, s, w) in enumerate(tokens)], "doc_id long, page_index int, chunk int, token_index int, entity string, score double, word string")
+    texts = spark.createDataFrame([(1, 0, 0, "Ana Perez de Acme / S vive")], "doc_id long, page_index int, chunk int, text string")
+    return ner.repaired(ner.label_spans(ner.positioned(rows, texts)), texts).select("start", "end", "entity_type", F.round("confidence", 6).alias("confidence"), "value")
+
+
+@query("SELECT * FROM (VALUES (1, 'calle Mitre 450'), (2, 'calle Mitre'), (3, 'calle Mitre nro. 45'), (4, 'calle Mitre'), (5, 'calle 9')) v(id, value)")
+def address_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a street takes its number, unless that goes on as something else."""
+    rows = [(1, "calle Mitre 450 y", 0, 11), (2, "calle Mitre 450/2", 0, 11), (3, "calle Mitre nro. 45, x", 0, 11), (4, "calle Mitre 12,5", 0, 11), (5, "calle 9 450", 0, 7)]
+    df = spark.createDataFrame([(*r, "ADDRESS") for r in rows], "id int, text string, start int, end int, entity_type string")
+    return ner.extended_addresses(df).select("id", "value")
+
+
+@query("SELECT * FROM (VALUES ('c1', 'PERSON,ORGANIZATION', 'b,a'), ('c2', 'DNI,PHONE', 'x')) v(conflict_id, types, spellings)")
+def candidate_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types by confidence, the pattern's first on ties; spellings as first seen."""
+    rows = [("c1", [("ner", "ORGANIZATION", 0.6, "b"), ("ner", "PERSON", 0.9, "a")]), ("c2", [("ner", "PHONE", 1.0, "x"), ("regex", "DNI", 1.0, "x")])]
+    df = spark.createDataFrame(rows, "conflict_id string, candidates array<struct<source:string,entity_type:string,confidence:double,value:string>>")
+    return edits.candidate_types(df).select("conflict_id", F.array_join("types", ",").alias("types"), F.array_join("spellings", ",").alias("spellings"))
+
+
+@query("SELECT * FROM (VALUES (1, 'a', 10.0::DOUBLE, 1, 2), (1, 'b', 30.0, 4, 4)) v(page_index, replacement_id, shift, first, last)")
+def repaint_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that move to make room, up to the next replacement; nothing moves where the room ends."""
+    from ..operators import repaint
+
+    box = lambda x, w: (float(x), 0.0, float(w), 10.0, None)
+    words = [(1, 1, k, f"w{k}", box(x, 20)) for k, x in enumerate((0, 25, 50, 100, 125))] + [(1, 2, 0, "w", box(0, 20)), (1, 2, 1, "w", box(70, 20))]
+    spans = [(1, 1, "a", box(0, 20), 30.0), (1, 1, "b", box(100, 20), 50.0), (1, 2, "c", box(0, 20), 30.0)]
+    kind = "struct<x:double,y:double,width:double,height:double,rotation:int>"
+    w = spark.createDataFrame(words, f"doc_id long, page_index int, word_index int, text string, bbox {kind}")
+    r = spark.createDataFrame(spans, f"doc_id long, page_index int, replacement_id string, bbox {kind}, token_width double")
+    return repaint.plans(r, w, 200.0).select("page_index", "replacement_id", "shift", "first", "last")
+
+
+@query(f"""WITH {SEARCH}, hits AS (SELECT r.doc_id, r.page_index, r.word_index FROM rows r WHERE token LIKE 'mail%'),
+{GROUPS.split(PAGES + ",", 1)[1]}
+SELECT DISTINCT h.doc_id, h.page_index, h.word_index AS start_index, CASE WHEN g.n_members IS NULL THEN 'unmarked' WHEN g.n_members < 2 THEN 'hidden' ELSE 'disabled' END AS status
+FROM hits h LEFT JOIN occ o ON h.doc_id = o.doc_id AND h.page_index = o.page_index AND h.word_index BETWEEN o.first_word AND o.last_word
+LEFT JOIN groups g ON g.doc_id = o.doc_id AND g.entity_type = o.entity_type AND g.normalized_value = o.normalized_value""")
+def match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with a part that begins with "mail", and whether an entity hides them; entities that occur twice
+    are off here."""
+    page = views.pages(docs(spark, sf_dir))
+    words = views.words(page)
+    found = detect.find_text(words, "mail")
+    box = words.select("doc_id", "page_index", F.col("word_index").alias("start_index"), "bbox")
+    o = occurrences(docs(spark, sf_dir))
+    g = grouping.exact_groups(o).withColumn("enabled", F.col("n_members") < 2)
+    placed = found.join(box, ["doc_id", "page_index", "start_index"])
+    return report.match_status(placed, grouping.members(o, g), g).select("doc_id", "page_index", "start_index", "status").distinct()
