@@ -24,6 +24,8 @@ HOT = 4
 #: Ids of target documents that may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 START, END = np.uint64(1), np.uint64(2)
+#: Parts of a nat in which a part's share of a loss travels.
+UNIT = float(1 << 34)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -94,9 +96,11 @@ def _deal(parts: int, hot: np.ndarray):
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
             rows = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                used, places = np.unique(np.r_[first[a:b], second[a:b]], return_inverse=True)
+                used, places = np.unique(first[a:b], return_inverse=True)
                 docs, per = np.unique(doc[a:b], return_counts=True)
-                arrays = (keys[docs], flags[docs].astype(np.uint8), per.astype(np.uint32), hashes[used], places.astype(np.uint32))
+                # The follower goes as 48 bits of its hash, which need to differ within one word's followers only.
+                follower = hashes[second[a:b]].view(np.uint8).reshape(-1, 8)[:, :6]
+                arrays = (keys[docs], flags[docs].astype(np.uint8), per.astype(np.uint32), hashes[used], places.astype(np.uint32), follower)
                 head = np.array([len(docs), len(used), b - a], np.int64)
                 rows.append((int(part[a]), pack.compress(b"".join(x.tobytes() for x in (head, *arrays)))))
             if rows:
@@ -106,24 +110,27 @@ def _deal(parts: int, hot: np.ndarray):
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
+    """Of each pair the text's key and flag, the first word, the follower."""
     data = zstandard.ZstdDecompressor().decompress(packed)
     n_docs, n_words, n = np.frombuffer(data, np.int64, 3)
     at, out = 24, []
-    for kind, size in ((np.int64, n_docs), (np.uint8, n_docs), (np.uint32, n_docs), (np.uint64, n_words), (np.uint32, 2 * n)):
+    for kind, size in ((np.int64, n_docs), (np.uint8, n_docs), (np.uint32, n_docs), (np.uint64, n_words), (np.uint32, n), (np.uint8, 6 * n)):
         out.append(np.frombuffer(data, kind, size, at))
         at += out[-1].nbytes
-    keys, flags, per, hashes, places = out
-    return np.repeat(keys, per), np.repeat(flags, per).astype(bool), hashes[places[:n]], hashes[places[n:]]
+    keys, flags, per, words, places, follower = out
+    second = np.zeros((n, 8), np.uint8)
+    second[:, :6] = follower.reshape(-1, 6)
+    return np.repeat(keys, per), np.repeat(flags, per).astype(bool), words[places], second.view("<u8").ravel()
 
 
-def _score(hot: dict[int, tuple[int, int]], n_target: int, n_all: int, vocabulary: int, alpha: float):
-    """(key, loss_target, loss_background, n): a part's share of each text's losses. All pairs of a word are in its part,
+def _score(hot: dict[int, tuple[int, int]], n_target: int, n_all: int, vocabulary: int, alpha: float, parts: int):
+    """(part, packed): a part's share of the losses of each text, packed for the part that the text's key names. All pairs of a word are in its part,
     or, for hot words, all pairs with one follower, the word's own numbers being known."""
     scale = n_target / n_all if n_all else 0.0
 
     def settle(rows: list[bytes]) -> pa.RecordBatch:
-        parts = [_unpack(r) for r in rows]
-        key, flag, first, second = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        held = [_unpack(r) for r in rows]
+        key, flag, first, second = (np.concatenate([p[k] for p in held]) for k in range(4))
         order = np.lexsort((second, first))
         key, flag, first, second = key[order], flag[order], first[order], second[order]
         word = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
@@ -139,8 +146,15 @@ def _score(hot: dict[int, tuple[int, int]], n_target: int, n_all: int, vocabular
         loss_target = -np.log((pair_target + alpha) / (word_target[own] + alpha * vocabulary))
         loss_all = -np.log((pair_all * scale + alpha) / (word_all[own] * scale + alpha * vocabulary))
         texts, code = np.unique(key, return_inverse=True)
-        sums = [np.bincount(code, np.repeat(x, in_pair), len(texts)) for x in (loss_target, loss_all)]
-        return pa.RecordBatch.from_arrays([pa.array(texts), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.bincount(code, minlength=len(texts)))], names=["key", "loss_target", "loss_background", "n"])
+        sums = [np.rint(np.bincount(code, np.repeat(x, in_pair), len(texts)) * UNIT).astype(np.int64) for x in (loss_target, loss_all)]
+        share = np.stack([texts, sums[0] - sums[1], sums[1], np.bincount(code, minlength=len(texts))])
+        to = (texts.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        by = np.argsort(to, kind="stable")
+        to, share = to[by], share[:, by]
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
+        pack = zstandard.ZstdCompressor(level=1)
+        packed = [pack.compress(_by_bytes(share[:, a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["part", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -157,6 +171,38 @@ def _score(hot: dict[int, tuple[int, int]], n_target: int, n_all: int, vocabular
     return run
 
 
+def _by_bytes(rows: np.ndarray) -> bytes:
+    """Longs byte by byte, the first bytes of all, then the second: high bytes that agree pack well."""
+    return np.ascontiguousarray(np.ascontiguousarray(rows).view(np.uint8).reshape(rows.shape[0], -1, 8).transpose(0, 2, 1)).tobytes()
+
+
+def _gather_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, t, b, n): the shares of each text, added up. The rows of a part come one after the other."""
+
+    def settle(rows: list[bytes]) -> pa.RecordBatch:
+        parts = []
+        for r in rows:
+            data = np.frombuffer(zstandard.ZstdDecompressor().decompress(r), np.uint8)
+            parts.append(np.ascontiguousarray(data.reshape(4, 8, -1).transpose(0, 2, 1)).view("<i8").reshape(4, -1))
+        key, apart, background, n = np.concatenate(parts, axis=1)
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        total = [np.add.reduceat(x[order], at) for x in (apart, background, n)]
+        columns = [pa.array(key[order][at]), pa.array((total[0] + total[1]) / UNIT), pa.array(total[1] / UNIT), pa.array(total[2])]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "t", "b", "n"])
+
+    now, rows = None, []
+    for batch in batches:
+        for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if rows and part != now:
+                yield settle(rows)
+                rows = []
+            now = part
+            rows.append(packed)
+    if rows:
+        yield settle(rows)
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score), a row per row of docs.
 
@@ -182,8 +228,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, alpha: floa
     # At most HOT * parts rows can pass this filter.
     hot = {r.word & ((1 << 64) - 1): (r.n_target, r.n_all) for r in words.filter(F.col("n_all") > n_all / (HOT * parts)).collect()}
     dealt = marked.mapInArrow(_deal(parts, np.array(sorted(hot), np.uint64)), "part int, packed binary")
-    shares = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_score(hot, n_target, n_all, vocabulary, alpha), "key long, loss_target double, loss_background double, n long")
-    sums = shares.groupBy("key").agg(F.sum("loss_target").alias("t"), F.sum("loss_background").alias("b"), F.sum("n").alias("n"))
+    shares = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_score(hot, n_target, n_all, vocabulary, alpha, parts), "part int, packed binary")
+    sums = shares.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_gather_shares, "key long, t double, b double, n long")
     rows = base.select("doc_id", F.xxhash64("doc_id", "text").alias("key"))
     per = rows.groupBy("key").agg(F.count("*").alias("same"))
     scored = rows.join(sums.join(per, "key"), "key")
