@@ -97,31 +97,31 @@ EMPTY = "array<struct<start:int,rank:int,end:int,kind:string,value:string,score:
 
 
 def _spans(rule: Rule, text: Column, digits: Column) -> Column:
-    """The rule's confirmed matches. One expression cuts the text into what stands between matches and the matches, and
-    running lengths give the places, so that a long text is read once. The context of a match is what stands between
-    it and its neighbours of the kind."""
-    whole = F.lit(rf"(?s)(.*?)({rule.pattern}|\z)")
-    gaps = F.regexp_extract_all(text, whole, F.lit(1))
-    found = F.regexp_extract_all(text, whole, F.lit(2))
-    nexts = F.concat(F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), F.array(F.lit("")))
+    """The rule's confirmed matches. One expression cuts the text into what stands between matches, the matches and what
+    follows them, and running lengths give the places, so that a long text is read once. The fold carries the last
+    CONTEXT_CHARS characters, so that the context of a match is what stands around it, other matches included."""
+    whole = F.lit(rf"(?s)(.*?)({rule.pattern}|\z)(?=(.{{0,{CONTEXT_CHARS}}}))")
+    gaps, found, nexts = (F.regexp_extract_all(text, whole, F.lit(k)) for k in (1, 2, 3))
     pairs = F.zip_with(
-        F.zip_with(gaps, found, lambda g, v: F.struct(F.length(g).alias("gap"), F.substring(g, -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"), v.alias("value"))),
+        F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))),
         nexts,
-        lambda p, n: F.struct(p["gap"].alias("gap"), p["before"].alias("before"), p["value"].alias("value"), F.substring(n, 1, CONTEXT_CHARS).alias("after")),
+        lambda p, n: F.struct(F.length(p["gap"]).alias("gap"), F.substring(p["gap"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"), p["value"].alias("value"), n.alias("after")),
     )
     empty = F.array().cast(EMPTY)
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), empty.alias("out"))
 
     def step(s: Column, p: Column) -> Column:
         value = p["value"]
         start = s["at"] + p["gap"]
         end = start + F.length(value)
-        points = score(rule.kind, p["before"], p["after"])
+        before = F.substring(F.concat(s["last"], p["before"]), -CONTEXT_CHARS, CONTEXT_CHARS)
+        points = score(rule.kind, before, p["after"])
         kept = (value != "") & confirmed(rule.kind, value)
         if rule.kind not in BASE:
             kept = kept & (points >= MIN_SCORE)
         span = F.struct(start.alias("start"), F.lit(KINDS.index(rule.kind)).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), value.alias("value"), points.alias("score"))
-        return F.struct(end.alias("at"), F.when(kept, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+        last = F.substring(F.concat(before, value), -CONTEXT_CHARS, CONTEXT_CHARS)
+        return F.struct(end.alias("at"), last.alias("last"), F.when(kept, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
 
     has = (text.contains(rule.hint) if rule.hint else digits) & text.rlike(rule.pattern)
     return F.when(has, F.aggregate(pairs, first, step, lambda s: s["out"])).otherwise(empty)

@@ -80,3 +80,18 @@ def test_context_raises_the_score(spark):
     docs = spark.createDataFrame([(1, "visa 4111111111111111"), (2, "4111111111111111")], "doc_id long, text string")
     scores = {r.doc_id: r.pii[0].score for r in pii.find_pii(docs).collect()}
     assert scores[1] > scores[2]
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("SSN: 123-45-6789, 234-56-7890", "ssn:5:16,ssn:18:29"),
+        ("123-45-6789, 234-56-7890 are their SSN", "ssn:0:11,ssn:13:24"),
+        ("tel 212-555-0187, 212-555-0188, 212-555-0189", "local_phone:4:16,local_phone:18:30,local_phone:32:44"),
+        ("SSN é🙂 666-45-6789, 234-56-7890", "ssn:20:31"),
+        ("SSN: 123-45-6789" + "." * 41 + " 234-56-7890", "ssn:5:16"),
+    ],
+)
+def test_context_reaches_over_other_matches(spark, text, spans):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.pii_digest(pii.find_pii(docs)).first().spans == spans
