@@ -38,15 +38,25 @@ class Rule:
     kind: str
     pattern: str
     hint: str
+    #: The most that can follow the match of pattern; which end is right, the check decides.
+    tail: str = ""
 
 
 LOCAL = "A-Za-z0-9._%+-"
+#: The most characters of a tail with its blanks.
+TAIL_CHARS = 60
+#: Lengths of IBANs by country, asked first where several ends pass mod 97.
+IBAN_LENGTHS = {
+    **{15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV"},
+    **{22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT"},
+    **{26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT"},
+}
 RULES = (
     Rule("email", rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     Rule("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}", "."),
     Rule("card", r"[0-9](?:[\x20-]?[0-9])++", ""),
     Rule("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
-    Rule("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", ""),
+    Rule("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", "", r"^(?:\x20?[A-Z0-9]){11,30}"),
     Rule("local_phone", r"(?<![0-9+.)-])(?<!\+[0-9]{1,3}[\x20-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])", ""),
     Rule("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
 )
@@ -93,14 +103,35 @@ def score(kind: str, before: Column, after: Column) -> Column:
     return F.least(F.lit(1.0), F.lit(base) + F.when(words, F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0)))
 
 
+def _tail(rule: Rule, value: Column, rest: Column) -> Column:
+    """How many characters of rest belong to the match: an end that no letter or digit follows and that the check
+    confirms, the one at the country's length or else the last; 0 if there is none."""
+    most = F.length(F.regexp_extract(rest, rule.tail, 0))
+
+    def ranked(k: Column) -> Column:
+        whole = F.concat(value, F.substring(rest, F.lit(1), k))
+        bare = F.length(F.replace(whole, F.lit(" "), F.lit("")))
+        country = F.substring(whole, 1, 2)
+        fits = F.lit(False)
+        for n, names in IBAN_LENGTHS.items():
+            fits = fits | ((bare == n) & country.isin(names.split()))
+        ends = F.substring(rest, k, F.lit(2)).rlike(r"^[A-Z0-9](?![A-Za-z0-9])")
+        return F.struct(F.when(ends & confirmed(rule.kind, whole), fits).alias("fits"), k.alias("k"))
+
+    best = F.array_max(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), ranked), lambda x: x["fits"].isNotNull()))
+    return F.when(most > 0, F.coalesce(best["k"], F.lit(0))).otherwise(F.lit(0))
+
+
 EMPTY = "array<struct<start:int,rank:int,end:int,kind:string,value:string,score:double>>"
 
 
 def _spans(rule: Rule, text: Column, digits: Column) -> Column:
     """The rule's confirmed matches. One expression cuts the text into what stands between matches, the matches and what
     follows them, and running lengths give the places, so that a long text is read once. The fold carries the last
-    CONTEXT_CHARS characters, so that the context of a match is what stands around it, other matches included."""
-    whole = F.lit(rf"(?s)(.*?)({rule.pattern}|\z)(?=(.{{0,{CONTEXT_CHARS}}}))")
+    CONTEXT_CHARS characters, so that the context of a match is what stands around it, other matches included. A rule
+    with a tail goes on after its pattern's match, so that a span that follows a false end is seen."""
+    ahead = CONTEXT_CHARS + (TAIL_CHARS if rule.tail else 0)
+    whole = F.lit(rf"(?s)(.*?)({rule.pattern}|\z)(?=(.{{0,{ahead}}}))")
     gaps, found, nexts = (F.regexp_extract_all(text, whole, F.lit(k)) for k in (1, 2, 3))
     pairs = F.zip_with(
         F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))),
@@ -108,20 +139,31 @@ def _spans(rule: Rule, text: Column, digits: Column) -> Column:
         lambda p, n: F.struct(F.length(p["gap"]).alias("gap"), F.substring(p["gap"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"), p["value"].alias("value"), n.alias("after")),
     )
     empty = F.array().cast(EMPTY)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), empty.alias("out"))
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.lit(0).alias("free"), empty.alias("out"))
+    if rule.tail:
+        # Worked out once for each match, before the fold.
+        pairs = F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), p["before"].alias("before"), p["value"].alias("value"), p["after"].alias("after"), _tail(rule, p["value"], p["after"]).alias("more")))
 
     def step(s: Column, p: Column) -> Column:
-        value = p["value"]
+        head = p["value"]
         start = s["at"] + p["gap"]
-        end = start + F.length(value)
+        at = start + F.length(head)
         before = F.substring(F.concat(s["last"], p["before"]), -CONTEXT_CHARS, CONTEXT_CHARS)
-        points = score(rule.kind, before, p["after"])
-        kept = (value != "") & confirmed(rule.kind, value)
+        if rule.tail:
+            value = F.concat(head, F.substring(p["after"], F.lit(1), p["more"]))
+            after = F.substring(p["after"], p["more"] + 1, F.lit(CONTEXT_CHARS))
+            kept = (p["more"] > 0) & (start >= s["free"])
+        else:
+            value, after = head, p["after"]
+            kept = (value != "") & confirmed(rule.kind, value)
+        end = start + F.length(value)
+        points = score(rule.kind, before, after)
         if rule.kind not in BASE:
             kept = kept & (points >= MIN_SCORE)
         span = F.struct(start.alias("start"), F.lit(KINDS.index(rule.kind)).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), value.alias("value"), points.alias("score"))
-        last = F.substring(F.concat(before, value), -CONTEXT_CHARS, CONTEXT_CHARS)
-        return F.struct(end.alias("at"), last.alias("last"), F.when(kept, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+        last = F.substring(F.concat(before, head), -CONTEXT_CHARS, CONTEXT_CHARS)
+        free = F.when(kept, end).otherwise(s["free"])
+        return F.struct(at.alias("at"), last.alias("last"), free.alias("free"), F.when(kept, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
 
     has = (text.contains(rule.hint) if rule.hint else digits) & text.rlike(rule.pattern)
     return F.when(has, F.aggregate(pairs, first, step, lambda s: s["out"])).otherwise(empty)

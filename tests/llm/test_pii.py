@@ -95,3 +95,21 @@ def test_context_raises_the_score(spark):
 def test_context_reaches_over_other_matches(spark, text, spans):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert pii.pii_digest(pii.find_pii(docs)).first().spans == spans
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("GB82WEST12345698765432 The account", "iban:0:22"),
+        ("DE89370400440532013000 2024", "iban:0:22"),
+        ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", "iban:0:27"),
+        ("GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00 AND MORE", "iban:0:27,iban:28:55"),
+        ("REF AB12 GB82 WEST 1234 5698 7654 32 A", "iban:9:36"),
+        ("GB82WEST12345698765432a", ""),
+        ("GB82WEST12345698765433 The account", ""),
+    ],
+)
+def test_iban_ends_where_its_checksum_says(spark, text, spans):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.pii_digest(pii.find_pii(docs)).first()
+    assert ",".join(s for s in row.spans.split(",") if s.startswith("iban")) == spans
