@@ -17,6 +17,7 @@ DEFAULT_MODES: tuple[tuple[str, str | None, str, int], ...] = ()
 
 
 def corpus_patterns(names: tuple[str, ...] = ()) -> tuple[Pattern, ...]:
+    """All patterns. R14 (caratula-ar) matches only values that begin with one of names; without names it matches nothing."""
     return with_custom(default_patterns(names), CUSTOM_PATTERNS)
 
 
