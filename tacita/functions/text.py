@@ -19,7 +19,8 @@ EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))
 
 # Months as written, and their numbers.
 MONTHS = {"enero": "01", "febrero": "02", "marzo": "03", "abril": "04", "mayo": "05", "junio": "06", "julio": "07", "agosto": "08", "septiembre": "09", "setiembre": "09", "octubre": "10", "noviembre": "11", "diciembre": "12"}
-TEXT_DATE = rf"(?i)(\d{{1,2}}){WS}*[°º]?{WS}+de{WS}+({'|'.join(MONTHS)}){WS}+del?{WS}+(\d{{4}})"
+TEXT_DATE = rf"(?i)(\d{{1,2}})(?:{WS}++|{WS}*+[°º]{WS}++)de{WS}++({'|'.join(MONTHS)}){WS}++del?{WS}++(\d{{4}})"
+
 
 def _bases() -> dict[str, str]:
     """Every letter that Unicode builds from one letter and marks U+0300 to U+036F, with that letter."""

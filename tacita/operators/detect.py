@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import context, fold
@@ -11,14 +13,20 @@ from .patterns import Pattern
 
 MATCH = "array<struct<start:int,end:int,pattern:int,value:string,normalized:string>>"
 
-#: A lower-case address whose @ was read as Q, with up to two "name. " parts before it.
-Q_EMAIL = r"(?:[a-z0-9._%+-]*[a-z0-9]\.\x20){0,2}[a-z0-9._%+-]*[a-z0-9]Q[a-z0-9][a-z0-9.-]*\.[a-z]{2,}(?![A-Za-z0-9_])"
+# Fixed value: R17, a lower-case address whose @ was read as Q, with up to two "name. " parts before it. A match begins
+# where its first run of characters begins, or where the last match ended, so that a run is read once.
+Q_EMAIL = r"(?:(?<![a-z0-9._%+-])|\G)(?:[a-z0-9._%+-]*[a-z0-9]\.\x20){0,2}[a-z0-9._%+-]*[a-z0-9]Q[a-z0-9][a-z0-9.-]*\.[a-z]{2,}(?![A-Za-z0-9_])"
+#: Characters around a match in which its run is looked for first.
+RUN_CHARS = 256
 
 
 def matches(text: Column, pattern: Pattern, index: int) -> Column:
     """The pattern's matches, not overlapping, blanks trimmed, each with its place. One expression cuts the text into
     what stands between matches and the matches; running lengths give the places, so look-arounds see the whole text."""
-    whole = F.lit(rf"(?s)(.*?)({pattern.regex})")
+    if not pattern.active:
+        return F.array().cast(MATCH)
+    # \G: after the last match no other start is tried.
+    whole = F.lit(rf"(?s)\G(.*?)({pattern.regex})")
     pairs = F.arrays_zip(F.regexp_extract_all(text, whole, F.lit(1)).alias("gap"), F.regexp_extract_all(text, whole, F.lit(2)).alias("value"))
     empty = F.array().cast(MATCH)
 
@@ -43,9 +51,18 @@ def matches(text: Column, pattern: Pattern, index: int) -> Column:
 def run_guard(text: Column, start: Column, end: Column, value: Column) -> Column:
     """A match without letters counts only if the run around it, letters and digits with single - . / between, has
     none either."""
-    before = F.regexp_extract(F.substring(text, F.lit(1), start), r"((?:[\p{L}\p{N}]|(?<=[\p{L}\p{N}])[-./])*)$", 1)
-    after = F.regexp_extract(F.substr(text, end + 1), r"^((?:[\p{L}\p{N}]|[-./](?=[\p{L}\p{N}]))*)", 1)
-    return value.rlike(r"\p{L}") | ~F.concat(before, after).rlike(r"\p{L}")
+    # A possessive group is matched in a loop, without recursion. Most runs end within RUN_CHARS; only longer ones are read
+    # from the whole text.
+    run = r"^(?:[-./]?+[\p{L}\p{N}]++)*+"
+
+    def lettered(near: Column, whole: Column) -> Column:
+        found = F.regexp_extract(near, run, 0)
+        return F.when(F.length(found) < RUN_CHARS - 1, found).otherwise(F.regexp_extract(whole, run, 0)).rlike(r"\p{L}")
+
+    first = F.greatest(start - RUN_CHARS, F.lit(0))
+    before = lettered(F.reverse(F.substring(text, first + 1, start - first)), F.reverse(F.substring(text, F.lit(1), start)))
+    after = lettered(F.substring(text, end + 1, F.lit(RUN_CHARS)), F.substr(text, end + 1))
+    return value.rlike(r"\p{L}") | ~(before | after)
 
 
 def longest_first(found: Column) -> Column:
@@ -63,7 +80,22 @@ def longest_first(found: Column) -> Column:
 
 def q_emails(text: Column) -> Column:
     """R17's matches as (start, end, value)."""
-    return matches(text, Pattern("email-q", "EMAIL", Q_EMAIL, "xxxx@xxxx.xx", lambda v: F.lower(F.replace(F.regexp_replace(v, r"\.\x20", "."), F.lit("Q"), F.lit("@"))), hint="Q"), -1)
+    return matches(text, Pattern("email-q", "EMAIL", Q_EMAIL, "xxxx@xxxx.xx", lambda v: F.lower(F.replace(F.regexp_replace(v, r"\.\x20", "."), F.lit("Q"), F.lit("@"))), hint="Q", gate="[a-z0-9]Q[a-z0-9]"), -1)
+
+
+def page_gate(patterns: tuple[Pattern, ...]) -> str:
+    """What every page with a match holds at least: one quick expression; none if a pattern has nothing to go by."""
+    each = [p.needs or p.gate or re.escape(p.hint) for p in patterns if p.active]
+    return "" if not each or "" in each else "|".join(f"(?:{g})" for g in dict.fromkeys(each))
+
+
+def _made(patterns: tuple[Pattern, ...]) -> list[Column]:
+    """The columns of matches in text, built once for a session: they take seconds to build call by call."""
+    spark = SparkSession.getActiveSession()
+    kept = spark.__dict__.setdefault("_tacita_matches", {})
+    if patterns not in kept:
+        kept[patterns] = [matches(F.col("text"), p, k) for k, p in enumerate(patterns)]
+    return kept[patterns]
 
 
 def detect(page: DataFrame, patterns: tuple[Pattern, ...], ocr: Column | None = None) -> DataFrame:
@@ -76,7 +108,11 @@ def detect(page: DataFrame, patterns: tuple[Pattern, ...], ocr: Column | None =
     rows = page.filter(F.trim("text") != "")
     text = F.col("text")
     email = next((k for k, p in enumerate(patterns) if p.id == "email"), None)
-    made = [matches(text, p, k) for k, p in enumerate(patterns)]
+    made = _made(patterns)
+    gate = page_gate(patterns)
+    if gate:
+        read = F.coalesce(ocr, F.lit(False)) & text.contains("Q") if ocr is not None else F.lit(False)
+        rows = rows.filter(text.rlike(gate) | read)
     # Rows of one element keep the optimizer from copying the long expressions into every later filter.
     rows = rows.select("doc_id", "page_index", "text", F.explode(F.array(F.struct(*(m.alias(f"m{k}") for k, m in enumerate(made))))).alias("m"))
     found = [F.col(f"m.m{k}") for k in range(len(patterns))]

@@ -31,6 +31,9 @@ class Pattern:
     check: Callable[[Column], Column] = _true
     hint: str = ""
     gate: str = ""
+    #: Whether the pattern can match at all, and a quick expression that every page with a match holds; the gate if none.
+    active: bool = True
+    needs: str = ""
 
 
 def any_case(word: str) -> str:
@@ -57,6 +60,12 @@ _HEIGHT = rf"{WS}{{1,2}}(?:{_NUMBER_WORD}{WS}{{0,2}})?\d{{1,5}}(?!\d|/|[.,\-‐
 ADDRESS = rf"{_START}{_VIA}(?:{WS}{{1,2}}{_NAME}){{1,6}}?{_HEIGHT}|(?<={_HOME}){_NAME}(?:{WS}{{1,2}}{_NAME}){{0,5}}?{_HEIGHT}"
 CAPTION = rf"{EDGE}\p{{Lu}}\p{{L}}+,(?:{WS}+\p{{Lu}}\p{{L}}+){{1,3}}{EDGE}(?={WS}+(?:[cs]/|[CS8$]/))|(?<=(?:{CAPTION_WORDS}){WS}{{0,3}}[:,]?{WS}{{0,3}}(?:a{WS}{{1,3}})?){EDGE}\p{{Lu}}\p{{Ll}}+,{WS}+\p{{Lu}}\p{{Ll}}+{EDGE}"
 _SEP = rf"(?:{WS}|-)?"
+_BLANKS = rf"{WS[:-1]}-]*+"
+#: A run of an address's characters is read from its first word character on, or from the end of the last match, and
+#: from no other place, so that the scan takes time in proportion to the text.
+LOCAL_START = r"(?:(?<![A-Za-z0-9_][.%+-]{0,32})|\G)"
+#: What an address pattern's match begins with or stands after.
+ADDRESS_GATE = rf"(?<![\p{{L}}\p{{N}}])(?i:{'|'.join(STREET_WORDS)}|(?:{'|'.join(STREET_SHORT)})(?:\.|{WS})|domicili|sit[oa]{WS})"
 
 
 def in_names(names: tuple[str, ...]) -> Callable[[Column], Column]:
@@ -67,28 +76,28 @@ def in_names(names: tuple[str, ...]) -> Callable[[Column], Column]:
 def default_patterns(names: tuple[str, ...] = ()) -> tuple[Pattern, ...]:
     """The fourteen patterns and the address keyword, in their order. names are the lexicon's single names."""
     return (
-        Pattern("dni-ar", "DNI", rf"{EDGE}\d{{1,2}}\.?\d{{3}}\.?\d{{3}}{EDGE}", "XX.XXX.XXX", lambda v: t.without(v, "."), gate=r"[0-9]{3}"),
-        Pattern("cuit-ar", "CUIT", rf"{EDGE}\d{{2}}-?\d{{8}}-?\d{EDGE}", "XX-XXXXXXXX-X", lambda v: t.without(v, "-"), c.cuit_ok, gate=r"[0-9]{8}"),
-        Pattern("phone-mobile-ar", "PHONE", rf"(?:\+?54{_SEP})?(?:9{_SEP})?{EDGE}(?:\d{{2}}{_SEP}\d{{4}}{_SEP}\d{{4}}|\d{{3}}{_SEP}\d{{3}}{_SEP}\d{{4}}|\d{{4}}{_SEP}\d{{2}}{_SEP}\d{{4}}){EDGE}", "+XX XXX XXX-XXXX", t.digits_only, gate=r"[0-9]{4}"),
-        Pattern("phone-landline-ar", "PHONE", rf"{EDGE}0\d{{1,4}}{_SEP}\d{{3,4}}{_SEP}\d{{4}}{EDGE}", "+XX XXX XXX-XXXX", t.digits_only, gate=r"0[0-9]"),
-        Pattern("email", "EMAIL", rf"{EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{EDGE}", "xxxx@xxxx.xx", F.lower, hint="@"),
-        Pattern("iban", "IBAN", rf"{EDGE}[A-Z]{{2}}\d{{2}}(?:{WS}?[A-Z0-9]){{10,30}}{EDGE}", "XX00 XXXX XXXX XXXX XXXX", t.upper_packed, c.iban_ok, gate=r"[A-Z]{2}[0-9]{2}"),
-        Pattern("credit-card", "CREDIT_CARD", rf"{EDGE}(?:\d[ -]*?){{13,19}}{EDGE}", "XXXX XXXX XXXX XXXX", t.digits_only, c.luhn_ok, gate=r"[0-9][ -]*[0-9][ -]*[0-9]"),
-        Pattern("date-ar", "DATE", rf"{EDGE}\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}{EDGE}", "XX/XX/XXXX", t.numeric_date, c.date_in_range, gate=r"[0-9][/-][0-9]"),
-        Pattern("date-textual-ar", "DATE", rf"{EDGE}{t.TEXT_DATE}{EDGE}", "XX/XX/XXXX", t.textual_date, c.date_in_range, hint=" ", gate=r"[0-9]{4}"),
-        Pattern("license-ar", "LICENSE", rf"(?<=[Mm]atr[íi]cula{WS}{{1,4}}[Pp]rofesional{WS}{{0,4}}:?{WS}{{0,4}})\d{{3,8}}{EDGE}|{EDGE}M\.?[NP]\.?(?:{WS}|-)*\d{{1,3}}(?:\.\d{{3}})+{EDGE}|{EDGE}M\.?[NP]\.?(?:{WS}|-)*\d{{3,8}}(?:-\d)?{EDGE}", "XX-XXXX-XX", lambda v: t.without(F.upper(v), "-"), gate=r"M\.?[NP]|rofesional"),
-        Pattern("plate-vieja-ar", "PLATE", rf"{EDGE}[A-Z]{{3}}{_SEP}\d{{3}}{EDGE}", "XXX XXX", t.upper_packed, gate=r"[0-9]{3}"),
-        Pattern("plate-mercosur-ar", "PLATE", rf"{EDGE}[A-Z]{{2}}{_SEP}\d{{3}}{_SEP}[A-Z]{{2}}{EDGE}", "XX XXX XX", t.upper_packed, gate=r"[0-9]{3}"),
-        Pattern("plate-mercosur-moto-ar", "PLATE", rf"{EDGE}[A-Z]{_SEP}\d{{3}}{_SEP}[A-Z]{{3}}{EDGE}", "X XXX XXX", t.upper_packed, gate=r"[0-9]{3}"),
-        Pattern("caratula-ar", "PERSON", CAPTION, "XXXXX XXXXX", t.caption_flip, in_names(names), hint=",", gate=r"[csCS8$]/|aratulad|utos|ausa|xpediente|irm|erito|uscribe"),
-        Pattern("address-keyword-ar", "ADDRESS", ADDRESS, "XXXXXX XXX", t.entity_key, gate=r"[0-9]"),
+        Pattern("dni-ar", "DNI", rf"{EDGE}\d{{1,2}}\.?\d{{3}}\.?\d{{3}}{EDGE}", "XX.XXX.XXX", lambda v: t.without(v, "."), gate=r"[0-9]{3}", needs="[0-9]"),
+        Pattern("cuit-ar", "CUIT", rf"{EDGE}\d{{2}}-?\d{{8}}-?\d{EDGE}", "XX-XXXXXXXX-X", lambda v: t.without(v, "-"), c.cuit_ok, gate=r"[0-9]{8}", needs="[0-9]"),
+        Pattern("phone-mobile-ar", "PHONE", rf"(?:\+?54{_SEP})?(?:9{_SEP})?{EDGE}(?:\d{{2}}{_SEP}\d{{4}}{_SEP}\d{{4}}|\d{{3}}{_SEP}\d{{3}}{_SEP}\d{{4}}|\d{{4}}{_SEP}\d{{2}}{_SEP}\d{{4}}){EDGE}", "+XX XXX XXX-XXXX", t.digits_only, gate=r"[0-9]{4}", needs="[0-9]"),
+        Pattern("phone-landline-ar", "PHONE", rf"{EDGE}0\d{{1,4}}{_SEP}\d{{3,4}}{_SEP}\d{{4}}{EDGE}", "+XX XXX XXX-XXXX", t.digits_only, gate=r"0[0-9]", needs="[0-9]"),
+        Pattern("email", "EMAIL", rf"{LOCAL_START}{EDGE}[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{EDGE}", "xxxx@xxxx.xx", F.lower, hint="@"),
+        Pattern("iban", "IBAN", rf"{EDGE}[A-Z]{{2}}\d{{2}}(?:{WS}?[A-Z0-9]){{10,30}}{EDGE}", "XX00 XXXX XXXX XXXX XXXX", t.upper_packed, c.iban_ok, gate=r"[A-Z]{2}[0-9]{2}", needs="[0-9]"),
+        Pattern("credit-card", "CREDIT_CARD", rf"{EDGE}(?:\d[ -]*?){{13,19}}{EDGE}", "XXXX XXXX XXXX XXXX", t.digits_only, c.luhn_ok, gate=r"[0-9][ -]*[0-9][ -]*[0-9]", needs="[0-9]"),
+        Pattern("date-ar", "DATE", rf"{EDGE}\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}{EDGE}", "XX/XX/XXXX", t.numeric_date, c.date_in_range, gate=r"[0-9][/-][0-9]", needs="[0-9]"),
+        Pattern("date-textual-ar", "DATE", rf"{EDGE}{t.TEXT_DATE}{EDGE}", "XX/XX/XXXX", t.textual_date, c.date_in_range, hint=" ", gate=r"[0-9]{4}", needs="[0-9]"),
+        Pattern("license-ar", "LICENSE", rf"(?<=[Mm]atr[íi]cula{WS}{{1,4}}[Pp]rofesional{WS}{{0,4}}:?{WS}{{0,4}})\d{{3,8}}{EDGE}|{EDGE}M\.?[NP]\.?{_BLANKS}\d{{1,3}}(?:\.\d{{3}})+{EDGE}|{EDGE}M\.?[NP]\.?{_BLANKS}\d{{3,8}}(?:-\d)?{EDGE}", "XX-XXXX-XX", lambda v: t.without(F.upper(v), "-"), gate=r"M\.?[NP]|rofesional", needs="[0-9]"),
+        Pattern("plate-vieja-ar", "PLATE", rf"{EDGE}[A-Z]{{3}}{_SEP}\d{{3}}{EDGE}", "XXX XXX", t.upper_packed, gate=r"[0-9]{3}", needs="[0-9]"),
+        Pattern("plate-mercosur-ar", "PLATE", rf"{EDGE}[A-Z]{{2}}{_SEP}\d{{3}}{_SEP}[A-Z]{{2}}{EDGE}", "XX XXX XX", t.upper_packed, gate=r"[0-9]{3}", needs="[0-9]"),
+        Pattern("plate-mercosur-moto-ar", "PLATE", rf"{EDGE}[A-Z]{_SEP}\d{{3}}{_SEP}[A-Z]{{3}}{EDGE}", "X XXX XXX", t.upper_packed, gate=r"[0-9]{3}", needs="[0-9]"),
+        Pattern("caratula-ar", "PERSON", CAPTION, "XXXXX XXXXX", t.caption_flip, in_names(names), hint=",", gate=r"[csCS8$]/|aratulad|utos|ausa|xpediente|irm|erito|uscribe", active=bool(names)),
+        Pattern("address-keyword-ar", "ADDRESS", ADDRESS, "XXXXXX XXX", t.entity_key, gate=ADDRESS_GATE, needs="[0-9]"),
     )
 
 
 #: Patterns that a user adds: addresses of hosts, North American numbers and access tokens.
 CUSTOM_PATTERNS = (
-    Pattern("ipv4", "CUSTOM", rf"{EDGE}\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}{EDGE}", "XXX.XXX.XXX.XXX", hint=".", gate=r"[0-9]\.[0-9]"),
-    Pattern("phone-us", "PHONE", r"\+1 \(\d{3}\) \d{3}-\d{4}", "+X (XXX) XXX-XXXX", t.digits_only, hint="+1 ("),
+    Pattern("ipv4", "CUSTOM", rf"{EDGE}\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}{EDGE}", "XXX.XXX.XXX.XXX", hint=".", gate=r"[0-9]\.[0-9]", needs="[0-9]"),
+    Pattern("phone-us", "PHONE", r"\+1 \(\d{3}\) \d{3}-\d{4}", "+X (XXX) XXX-XXXX", t.digits_only, hint="+1 (", needs="[0-9]"),
     Pattern("token", "CUSTOM", rf"{EDGE}[0-9a-f]{{40}}{EDGE}", "XXXXXXXX", gate=r"[0-9a-f]{40}"),
 )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ..sources.staging import staged
 DEFAULT_MODES: tuple[tuple[str, str | None, str, int], ...] = ()
 
 
+@lru_cache(maxsize=16)
 def corpus_patterns(names: tuple[str, ...] = ()) -> tuple[Pattern, ...]:
     """All patterns. R14 (caratula-ar) matches only values that begin with one of names; without names it matches nothing."""
     return with_custom(default_patterns(names), CUSTOM_PATTERNS)
@@ -33,8 +35,17 @@ class Anonymised:
     texts: DataFrame
 
 
-def occurrences(docs: DataFrame, patterns: tuple[Pattern, ...] | None = None) -> DataFrame:
-    """Detections of a corpus, numbered per document, without repeats."""
+def occurrences(docs: DataFrame, patterns: tuple[Pattern, ...] | None = None, fresh: bool = False) -> DataFrame:
+    """Detections of a corpus, numbered per document, without repeats. They are written once for a session, an input and
+    a table of patterns, and read from there by all that asks again; fresh=True reads an input that has changed."""
+    kept = docs.sparkSession.__dict__.setdefault("_tacita_occurrences", {})
+    asked = (docs.semanticHash(), tuple(docs.columns), patterns)
+    if fresh or asked not in kept:
+        kept[asked] = _occurrences(docs, patterns)
+    return kept[asked]
+
+
+def _occurrences(docs: DataFrame, patterns: tuple[Pattern, ...] | None) -> DataFrame:
     page = views.pages(docs)
     found = detect.detect(page, patterns or corpus_patterns(), F.col("doc_id") % 5 == 0)
     found = found.withColumn("fragments", F.lit(None).cast("array<struct<x:double,y:double,width:double,height:double,rotation:int>>"))

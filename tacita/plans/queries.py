@@ -82,16 +82,22 @@ guarded AS (
     SELECT * FROM scans WHERE regexp_matches(value, '\p{L}') OR NOT regexp_matches(
         regexp_extract(substr(text, 1, start), '((?:[\p{L}\p{N}]+(?:[-./][\p{L}\p{N}]+)*[-./]?)?)$', 1) || regexp_extract(substr(text, "end" + 1), '^((?:[-./]?[\p{L}\p{N}]+)*)', 1), '\p{L}')
 ),
-found AS (
+found AS MATERIALIZED (
     SELECT a.* FROM guarded a WHERE NOT EXISTS (
         SELECT 1 FROM guarded b WHERE a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.start < b."end" AND b.start < a."end"
           AND (b."end" - b.start, -b.start, -b.pattern) > (a."end" - a.start, -a.start, -a.pattern))
 ),
-placed AS (
+hit_words AS MATERIALIZED (
+    SELECT doc_id, page_index, (i - 1)::INTEGER AS word_index, w AS text,
+           coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id, page_index ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start,
+           coalesce(sum(6 * length(w) + 10) OVER (PARTITION BY doc_id, page_index ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + 10 AS x
+    FROM (SELECT doc_id, page_index, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM (SELECT DISTINCT doc_id, page_index, text FROM found))
+),
+placed AS MATERIALIZED (
     SELECT f.*, w0.word_index AS first_word, w1.word_index AS last_word, w0.x AS x, w1.x + 6 * length(w1.text) - w0.x AS width
     FROM found f
-    JOIN words w0 ON f.doc_id = w0.doc_id AND f.page_index = w0.page_index AND w0.start <= f.start AND f.start < w0.start + length(w0.text) + 1
-    JOIN words w1 ON f.doc_id = w1.doc_id AND f.page_index = w1.page_index AND w1.start < f."end" AND f."end" <= w1.start + length(w1.text) + 1
+    JOIN hit_words w0 ON f.doc_id = w0.doc_id AND f.page_index = w0.page_index AND w0.start <= f.start AND f.start < w0.start + length(w0.text) + 1
+    JOIN hit_words w1 ON f.doc_id = w1.doc_id AND f.page_index = w1.page_index AND w1.start < f."end" AND f."end" <= w1.start + length(w1.text) + 1
 ),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, start) AS seq FROM placed),
 occ AS (

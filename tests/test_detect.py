@@ -1,3 +1,6 @@
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +87,33 @@ def test_custom_patterns(spark):
     for bad in ("(", "(a+)+"):
         with pytest.raises(ValueError):
             p.with_custom(base, (p.Pattern("x", "CUSTOM", bad, "x"),))
+
+
+HARD = {
+    "letters": "a" * 200_000 + "-12345678",
+    "digits": "1" * 200_000,
+    "dotted": "a." * 100_000 + "@ x",
+    "single": "1.a-" * 50_000 + "12345678",
+    "blanks": "7" + " " * 200_000 + "de julio",
+    "licence": "MP" + " -" * 100_000 + "x",
+    "late": "b" * 200_000 + "@example.com",
+    "q": "q" * 200_000 + "Q1",
+    "capitals": "Av. " + "A" * 200_000 + " 1",
+}
+
+
+def test_long_runs(spark):
+    """No pattern and no guard needs recursion or more time than in proportion to a run."""
+    pages = spark.createDataFrame([(5 * k, 0, t) for k, t in enumerate(HARD.values())], "doc_id long, page_index int, text string")
+    patterns = p.with_custom(p.default_patterns(("maria",)), p.CUSTOM_PATTERNS)
+    began = time.time()
+    got = {(list(HARD)[r.doc_id // 5], r.pattern_id) for r in detect.detect(pages, patterns, F.col("doc_id") % 5 == 0).collect()}
+    assert ("late", "email") in got and ("letters", "dni-ar") not in got
+    assert time.time() - began < 90
+
+
+def test_emails_start_where_a_scan_would(spark):
+    texts = ["..a@b.co", "a@b.com.c@d.org", "x@y a-b@c.de", "%@a.bc", "a@b@c.dd", "ñandu@x.org", "a.b.c@d.ef."]
+    rows = detect.detect(spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, page_index int, text string"), tuple(x for x in p.default_patterns() if x.id == "email")).collect()
+    plain = re.compile(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", re.ASCII)
+    assert sorted((r.doc_id, r.start, r.value) for r in rows) == [(k, m.start(), m.group()) for k, t in enumerate(texts) for m in plain.finditer(t)]
