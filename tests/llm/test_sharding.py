@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import xxhash
+
 from tacita.llm import sharding
 
 
@@ -63,3 +65,28 @@ def test_whole_rows_are_dealt_alike(spark):
     assert sorted(r.k1 for r in rows) == sorted(map(str, range(1500)))
     lean = sharding.shard_documents(docs, 6).collect()
     assert sorted((r.doc_id, r.shard, r.slot) for r in rows) == sorted((r.doc_id, r.shard, r.slot) for r in lean)
+
+
+def brute(rows, shards):
+    """Rows on one line in the order of their texts' hashes and ids; a row goes to the equal part in which it starts."""
+
+    def key(row):
+        h = xxhash.xxh64_intdigest((row[1] or "").encode(), 42)
+        return (h - (1 << 64) if h >> 63 else h, -1 if row[0] is None else row[0])
+
+    ordered = sorted(rows, key=key)
+    total = sum(len((r[1] or "").encode()) + 8 for r in rows)
+    out, at, slots = {}, 0, {}
+    for r in ordered:
+        shard = min(at * shards // total, shards - 1)
+        out[r[0]] = (shard, slots.get(shard, 0))
+        slots[shard] = slots.get(shard, 0) + 1
+        at += len((r[1] or "").encode()) + 8
+    return out
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["ü" * rng.randrange(70), "copy", "", None, "w" * rng.randrange(3000)]), None, None) for i in range(2500)] + [(9999, "x" * 500_000, None, None)]
+    out = sharding.shard_documents(docs_of(spark, rows), 24).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in out} == brute(rows, 24)
