@@ -23,7 +23,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
     """(source, n_rows, rate): the mean number of times a row of each source is to appear, so that the sources' expected
     rows stand in the ratio of their target weights and sum to total_rows (the rows of docs if not given). Without
     weights, a source's weight is its number of rows to the power alpha. Sources without a weight have rate 0. A null
-    source is a source of its own, named by the empty string in weights."""
+    and an empty source are one source, named by the empty string in weights."""
     counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source")).agg(F.count("*").alias("n_rows"))
     if weights is None:
         weight = F.pow(F.col("n_rows").cast("double"), F.lit(float(alpha)))
@@ -53,12 +53,14 @@ def poisson_steps(rate: Column) -> Column:
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with n_copies and copy (0 to n_copies - 1): each row as often as a Poisson draw with its source's rate says.
-    The draw is a hash of the row's id and seed, inverted through the distribution: it is the same in each run, and
-    a rate of 50 is the sum of 50 unit draws' distribution, in parts of at most 500 so that exp(-rate) is no zero."""
+    The draw is a hash of the row's id and seed, inverted through the distribution: it is the same in each run. A rate
+    over 500 is drawn as the sum of draws at equal parts of it, of at most 500 each, so that exp(-rate) is no zero."""
     big = F.greatest(F.ceil(F.col("rate") / 500.0), F.lit(1)).cast("int")
     steps = rates.withColumn("parts", big).withColumn("cdf", poisson_steps(F.col("rate") / F.col("parts"))).select("mix_source", "parts", "cdf")
     joined = docs.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).join(broadcast_if(steps, BROADCAST_RATES), "mix_source")
-    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda part: F.size(F.filter(F.col("cdf"), lambda c: c <= unit(F.col(id_col), part, seed=seed))))
+    # Each draw is made once, then looked up.
+    units = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda part: unit(F.col(id_col), part, seed=seed))
+    draws = F.transform(units, lambda u: F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
     counted = joined.withColumn("n_copies", F.aggregate(draws, F.lit(0), lambda a, b: a + b)).drop("mix_source", "parts", "cdf")
     return counted.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
 
