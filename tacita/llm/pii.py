@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "iban", "local_phone", "ssn")
 BASE = KINDS[:4]
 
-#: Words that make a kind likelier when they stand within CONTEXT_CHARS before a span or after it.
+#: Whole words that make a kind likelier when they stand within CONTEXT_CHARS before a span or after it.
 CONTEXT = {
     "email": ("mail", "e-mail", "contact", "write", "correo", "kontakt"),
     "ip": ("ip", "host", "server", "address", "login"),
     "card": ("card", "visa", "mastercard", "amex", "payment", "tarjeta", "karte", "carte"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "cell", "fax", "telefon", "teléfono"),
     "iban": ("iban", "bank", "account", "konto", "cuenta", "compte"),
-    "local_phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono"),
+    "local_phone": ("phone", "telephone", "tel", "call", "mobile", "cell", "fax", "telefon", "teléfono"),
     "ssn": ("ssn", "social security"),
 }
 CONTEXT_CHARS = 40
@@ -96,9 +96,7 @@ def confirmed(kind: str, value: Column) -> Column:
 
 def score(kind: str, before: Column, after: Column) -> Column:
     near = F.lower(F.concat(before, F.lit(" "), after))
-    words = F.lit(False)
-    for w in CONTEXT[kind]:
-        words = words | near.contains(w)
+    words = near.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(CONTEXT[kind])})(?![\p{{L}}\p{{N}}])")
     base = CHECKED_SCORE.get(kind, PATTERN_SCORE[kind])
     return F.least(F.lit(1.0), F.lit(base) + F.when(words, F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0)))
 
