@@ -142,7 +142,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     clean results. Other columns are not read."""
     windows = written(item_windows(benchmark, window, text_col="text"), "windows")
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
-    plan = written(plan_windows(windows, term_counts(docs, vocabulary, text_col)), "plan")
+    # A row for each term of the benchmark.
+    counts = broadcast_if(written(term_counts(docs, vocabulary, text_col), "counts"), BROADCAST_ROWS)
+    plan = written(plan_windows(windows, counts), "plan")
     index = build_index(docs, plan, window, id_col, text_col)
     matches = written(phrase_matches(index, plan), "matches")
     key = ["doc_id", "text_hash"]
