@@ -228,8 +228,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, alpha: floa
     # At most HOT * parts rows can pass this filter.
     hot = {r.word & ((1 << 64) - 1): (r.n_target, r.n_all) for r in words.filter(F.col("n_all") > n_all / (HOT * parts)).collect()}
     dealt = marked.mapInArrow(_deal(parts, np.array(sorted(hot), np.uint64)), "part int, packed binary")
-    shares = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_score(hot, n_target, n_all, vocabulary, alpha, parts), "part int, packed binary")
-    sums = shares.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_gather_shares, "key long, t double, b double, n long")
+    shares = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_score(hot, n_target, n_all, vocabulary, alpha, parts), "part int, packed binary")
+    sums = shares.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_gather_shares, "key long, t double, b double, n long")
     rows = base.select("doc_id", F.xxhash64("doc_id", "text").alias("key"))
     per = rows.groupBy("key").agg(F.count("*").alias("same"))
     scored = rows.join(sums.join(per, "key"), "key")

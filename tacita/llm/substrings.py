@@ -368,7 +368,7 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     dealt = base.mapInArrow(_deal(parts, length), "part int, ids binary, lows binary, owns binary")
     # Phrases that are settled in their own task have no part to go to; they are spread.
     to = F.when(F.col("part") < 0, F.pmod(F.hash("ids"), F.lit(parts))).otherwise(F.col("part"))
-    dealt = dealt.withColumn("to", to).repartition(parts, "to").sortWithinPartitions("part").select("part", "ids", "lows", "owns")
+    dealt = dealt.withColumn("to", to).repartitionById(parts, F.col("to")).sortWithinPartitions("part").select("part", "ids", "lows", "owns")
     answers = written(dealt.mapInArrow(_answer(hot_phrases), "id long, key long, kind tinyint"), "answers")
     del dealt
     release(spark)
