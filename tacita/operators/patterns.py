@@ -51,6 +51,8 @@ STREET_SHORT = ("avda", "av", "pje", "bv")
 DOMICILE_KINDS = ("real", "legal", "procesal", "especial", "constituido")
 CAPTION_WORDS = "[Cc]aratulad[oa]s?|[Aa]utos|[Cc]ausa|[Ee]xpediente|[Ff]irmad[oa]|[Ff]irma|[Pp]erito|[Ss]uscriben?"
 
+# The expressions from here on, those of the table below included. They are the pattern language that has to
+# be matched; only what keeps them from reading a run twice is added.
 _START = r"(?<![\p{L}\p{N}])"
 _VIA = rf"(?:{_one_of(*STREET_WORDS)}|(?:{_one_of(*STREET_SHORT)})\.?)"
 _HOME = rf"{_START}(?:{any_case('domicilio')}(?:{WS}{{1,2}}(?:{_one_of(*DOMICILE_KINDS)}))?|{any_case('domiciliad')}[OoAa]|{any_case('sit')}[OoAa]){WS}{{1,2}}{any_case('en')}{WS}{{1,2}}"

@@ -109,12 +109,13 @@ def latest(batch: DataFrame, key: str, revision: str, priority: str) -> DataFram
 
 
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """A stream run to the end of what is there, each micro-batch appended as files; consumers of a batch fail alone."""
+    """A stream run to the end of what is there, each micro-batch written to a folder of its own, which a batch that is
+    run again overwrites; consumers of a batch fail alone."""
     spark = stream.sparkSession
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(f"{path}/out")
+        batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/out")

@@ -52,5 +52,10 @@ def test_false_values_repeat():
         assert synthesize("s", kind, "g", 1) == synthesize("s", kind, "g", 1) != ""
     digits = [int(c) for c in synthesize("s", "CUIT", "g1", 1) if c.isdigit()]
     assert (sum(d * w for d, w in zip(digits, (5, 4, 3, 2, 7, 6, 5, 4, 3, 2, 1), strict=True))) % 11 == 0
+    for k in range(200):
+        card = synthesize("s", "CREDIT_CARD", f"g{k}", 1).replace(" ", "")
+        assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(card[::-1])) % 10 == 0
+        iban = synthesize("s", "IBAN", f"g{k}", 1).replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert synthesize("s", "CUSTOM", "g", 7) == "custom-7"
     assert 0 <= Draws("x").unit() < 1 and Draws("").state == 0x811C9DC5
