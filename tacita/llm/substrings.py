@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
+U = np.uint64
 #: Bytes of the strings that count, and of the rolling hash's window.
 LENGTH = 50
 GRAM = 16
@@ -25,10 +26,13 @@ GATHER = 8 << 20
 PART_BYTES = 16 << 20
 #: Phrases with one trigger beyond which each of their strings goes by its own hash.
 HOT_PHRASES = 4096
+#: Low bits of a trigger that say where it stands while the least is sought, and what the bytes beside it are hashed to.
+PLACE = U(22)
+SIDES = U((1 << 24) - 2)
+NO_SIDE, MANY = 0, (1 << 24) - 1
 #: Bytes of a dictionary whose suffixes are sorted at once.
 DICTIONARY = 2 << 20
 
-U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 VALUES = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -56,13 +60,23 @@ def powers() -> list[np.ndarray]:
 
 
 def phrases(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for base, first, last, trigger, own, *_ in parsed(text, length):
+        yield base, first, last, trigger, own
+
+
+def parsed(text: bytes, length: int = LENGTH, sides: bool = False) -> Iterator[tuple]:
     """For each chunk of a text: its offset, and of its phrases the first starts, the ends of their starts, the triggers
     and the hashes of their bytes.
 
     The trigger of a string of `length` bytes is the least rolling hash of its GRAM-byte windows, so equal strings have
     equal triggers wherever they stand. A phrase is a maximal run of starts with one trigger, extended by length - 1
-    bytes: the phrases cut all starts into runs, and each string lies in the phrase that its start is in."""
+    bytes: the phrases cut all starts into runs, and each string lies in the phrase that its start is in.
+
+    With `sides`, also the hashes of the bytes to the left and to the right of a phrase's trigger, half as many as a
+    string has beside it: a string holds all of those of one side at least, so phrases with a string in common have one
+    side in common. NO_SIDE if the phrase has fewer there; MANY if the trigger stands in it at several places."""
     gram = min(GRAM, length)
+    half = (length - gram + 1) // 2
     for base in range(0, max(len(text) - length + 1, 0), CHUNK):
         piece = np.frombuffer(text, np.uint8, min(CHUNK + length - 1, len(text) - base), base)
         starts = len(piece) - length + 1
@@ -73,19 +87,31 @@ def phrases(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray
             span, factor = span * 2, factor * factor & MASK
         if span < gram:
             h = h[: len(h) - (gram - span)] * U(3) + h[gram - span :]
-        h = mixed(h)
+        h = mixed(h) >> PLACE << PLACE | np.arange(len(h), dtype=np.uint64)
         wide, size = length - gram + 1, 1
         while size * 2 <= wide:
             h = np.minimum(h[:-size], h[size:])
             size *= 2
         least = np.minimum(h[:starts], h[wide - size : wide - size + starts])
+        at, least = (least & ((U(1) << PLACE) - U(1))).astype(np.int64), least >> PLACE
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         last = np.r_[first[1:], starts]
         up, down = powers()
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(value * up[: len(piece)], out=sums[1:])
         own = mixed((sums[last + length - 1] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-        yield base, first, last, least[first], own
+        found = base, first, last, mixed(least[first]), own
+        if not sides:
+            yield found
+            continue
+        place = at[first]
+        many = at[last - 1] != place
+        beside = []
+        for lo, fits in ((place - half, place - half >= first), (place + gram, place + gram + half <= last + length - 1)):
+            lo = np.where(fits, lo, 0)
+            said = mixed((sums[lo + half] - sums[lo]) * down[lo]) % SIDES + U(1)
+            beside.append(np.where(many, MANY, np.where(fits, said, NO_SIDE)).astype(np.uint64))
+        yield *found, *beside
 
 
 def record_keys(trigger: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,18 +123,29 @@ def answer_key(low: np.ndarray, own: np.ndarray) -> np.ndarray:
     return mixed(low.astype(np.uint64) * U(BASE) ^ own).view(np.int64)
 
 
-def _pack(own: np.ndarray) -> bytes:
-    return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _pack(values: np.ndarray, width: int = 6) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _unpack(data: bytes, width: int = 6) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Their least, and in as few bytes as hold them how far each is beyond it."""
+    beyond = ids.view(np.uint64) - ids.min().view(np.uint64)
+    width = max(1, (int(beyond.max()).bit_length() + 7) // 8)
+    return ids.min().tobytes() + bytes([width]) + _pack(beyond, width)
+
+
+def _unpack_ids(data: bytes) -> np.ndarray:
+    return (_unpack(data[9:], data[8]) + np.frombuffer(data[:8], np.uint64)).view(np.int64)
+
+
 def _deal(parts: int, length: int):
-    """Rows (part, ids, lows, owns): phrases of many texts, packed for the part that their trigger names. Of equal
+    """Rows (part, ids, lows, owns, sides): phrases of many texts, packed for the part that their trigger names. Of equal
     phrases only the one in the smallest id travels; the others are covered by it already and go to `part` -1."""
 
     def flush(ids: list, found: list) -> Iterator[pa.RecordBatch]:
@@ -116,20 +153,23 @@ def _deal(parts: int, length: int):
             return
         trigger = np.concatenate([f[0] for f in found])
         own = np.concatenate([f[1] for f in found])
+        sides = np.concatenate([f[2] | f[3] << U(24) for f in found])
         doc = np.repeat(np.array(ids, np.int64), [len(f[0]) for f in found])
         low, own = record_keys(trigger, own)
         part = ((trigger >> U(32)) % U(parts)).astype(np.int32)
         order = np.lexsort((doc, own, low, part))
         part, low, own, doc = part[order], low[order], own[order], doc[order]
+        sides = sides[order]
         new = np.r_[True, (part[1:] != part[:-1]) | (low[1:] != low[:-1]) | (own[1:] != own[:-1])]
         starts = np.flatnonzero(new)
         least = np.repeat(doc[starts], np.diff(np.r_[starts, len(doc)]))
         later = ~new & (doc > least)
         later &= np.r_[False, (doc[1:] != doc[:-1]) | new[1:]]
         part, low, own, doc = np.r_[part[starts], np.full(later.sum(), -1, np.int32)], np.r_[low[starts], low[later]], np.r_[own[starts], own[later]], np.r_[doc[starts], doc[later]]
+        sides = sides[starts]
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-        rows = [(int(part[a]), doc[a:b].tobytes(), low[a:b].tobytes(), _pack(own[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "ids", "lows", "owns"])
+        rows = [(int(part[a]), _pack_ids(doc[a:b]), low[a:b].tobytes(), _pack(own[a:b]), _pack(sides[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["part", "ids", "lows", "owns", "sides"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, found, size = [], [], 0
@@ -137,9 +177,9 @@ def _deal(parts: int, length: int):
             texts = batch.column(1).cast(pa.large_binary())
             for i, t in zip(batch.column(0), texts, strict=True):
                 text = t.as_py()
-                for _, _, _, trigger, own in phrases(text, length):
+                for _, _, _, *found_here in parsed(text, length, True):
                     ids.append(i.as_py())
-                    found.append((trigger, own))
+                    found.append(found_here)
                 size += len(text)
                 if size >= GATHER:
                     yield from flush(ids, found)
@@ -151,16 +191,30 @@ def _deal(parts: int, length: int):
 
 def _answer(hot: int):
     """(id, key, kind) for the phrases that another text shares: covered, if an equal phrase stands in a smaller id; else
-    wanted as a fragment, if other phrases with the trigger stand in other ids."""
+    wanted as a fragment, if other phrases with the trigger and the bytes at one side of it stand in other ids."""
+
+    def asked(least: np.ndarray, sides: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each of the phrases, in groups of one trigger, may have a string in common with one of another id."""
+        group = np.repeat(np.arange(len(heads)), sizes)
+        left, right = sides & U(MANY), sides >> U(24)
+        out = np.zeros(len(least), bool)
+        for side in (left, right):
+            order = np.lexsort((side, group))
+            at = np.flatnonzero(np.r_[True, (group[order][1:] != group[order][:-1]) | (side[order][1:] != side[order][:-1])])
+            apart = np.minimum.reduceat(least[order], at) < np.maximum.reduceat(least[order], at)
+            out[order] |= np.repeat(apart, np.diff(np.r_[at, len(order)])) & (side[order] != NO_SIDE)
+        apart = np.minimum.reduceat(least, heads) < np.maximum.reduceat(least, heads)
+        return np.where(np.logical_or.reduceat(left == MANY, heads)[group], apart[group], out)
 
     def settle(part: int, rows: list) -> pa.RecordBatch:
-        doc = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
+        doc = np.concatenate([_unpack_ids(r[0]) for r in rows])
         low = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows])
         own = np.concatenate([_unpack(r[2]) for r in rows])
         if part < 0:
             return _rows(doc, answer_key(low, own), np.zeros(len(doc), np.int8))
+        sides = np.concatenate([_unpack(r[3]) for r in rows])
         order = np.lexsort((doc, own, low))
-        doc, low, own = doc[order], low[order], own[order]
+        doc, low, own, sides = doc[order], low[order], own[order], sides[order]
         group = np.r_[True, low[1:] != low[:-1]]
         phrase = group | np.r_[True, own[1:] != own[:-1]]
         at = np.flatnonzero(phrase)
@@ -171,8 +225,9 @@ def _answer(hot: int):
         heads = np.flatnonzero(group[at])
         many = np.diff(np.r_[heads, len(at)])
         if len(at):
-            apart = np.minimum.reduceat(least, heads) < np.maximum.reduceat(least, heads)
-            kind[at] = np.where(np.repeat(apart, many), np.where(np.repeat(many, many) > hot, SINGLE, FRAGMENT), -1)
+            wanted = asked(least, sides[at], heads, many)
+            hot_group = np.add.reduceat(wanted.astype(np.int64), heads) > hot
+            kind[at] = np.where(wanted, np.where(np.repeat(hot_group, many), SINGLE, FRAGMENT), -1)
         keep = kind >= 0
         return _rows(doc[keep], answer_key(low, own)[keep], kind[keep])
 
@@ -358,17 +413,17 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     cover nothing.
 
     First round: each text's phrases go, as hashes, to the part that their trigger names, where equal phrases are
-    covered by the smallest id. Second round: phrases whose trigger other phrases have as well give their bytes, all of
-    a trigger meet, and their suffixes are sorted."""
+    covered by the smallest id. Second round: phrases whose trigger, with the bytes at one side of it, other phrases have
+    as well give their bytes, all of a trigger meet, and their suffixes are sorted."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))
     total = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES + 1)
-    dealt = base.mapInArrow(_deal(parts, length), "part int, ids binary, lows binary, owns binary")
+    dealt = base.mapInArrow(_deal(parts, length), "part int, ids binary, lows binary, owns binary, sides binary")
     # Phrases that are settled in their own task have no part to go to; they are spread.
     to = F.when(F.col("part") < 0, F.pmod(F.hash("ids"), F.lit(parts))).otherwise(F.col("part"))
-    dealt = dealt.withColumn("to", to).repartitionById(parts, F.col("to")).sortWithinPartitions("part").select("part", "ids", "lows", "owns")
+    dealt = dealt.withColumn("to", to).repartitionById(parts, F.col("to")).sortWithinPartitions("part").select("part", "ids", "lows", "owns", "sides")
     answers = written(dealt.mapInArrow(_answer(hot_phrases), "id long, key long, kind tinyint"), "answers")
     del dealt
     release(spark)
@@ -376,11 +431,14 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     asked = base.select("id", F.xxhash64("text").alias("text_hash"), "text").join(sets, "id")
     seen = written(asked.mapInArrow(_look(length), "kind tinyint, id long, text_hash long, start long, stop long, trigger long, bytes binary"), "looked")
     del asked, sets
+    discard(answers)
     release(spark)
     wanted = seen.filter(F.col("kind") == FRAGMENT).select("trigger", "id", "text_hash", "start", "stop", "bytes")
     settled = wanted.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_settle(length), "id long, text_hash long, start long, stop long")
     both = seen.filter(F.col("kind") == COVERED).select("id", "text_hash", "start", "stop").unionByName(settled)
-    return written(both, "spans")
+    spans = written(both, "spans")
+    discard(seen)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot_phrases: int = HOT_PHRASES) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from tacita.llm import shared
 from tacita.llm import substrings as s
 
 
@@ -88,3 +89,34 @@ def test_dictionary_order():
 
 def test_empty(spark):
     assert s.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_asks_only_for_phrases_with_a_side_in_common(spark, monkeypatch):
+    rng = random.Random(7)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared, long = made(30), made(60)
+    rows = [(i, made(80) + shared + made(80)) for i in range(20)] + [(30 + i, made(40) + long + made(40)) for i in range(2)]
+    asked, write = [], s.written
+
+    def seen(df, label):
+        out = write(df, label)
+        if label == "looked":
+            asked.extend(r.id for r in out.filter(f"kind = {s.FRAGMENT}").collect())
+        return out
+
+    monkeypatch.setattr(s, "written", seen)
+    got = sorted((tuple(r[:5]) + (bytes(r.kept),) for r in s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows, 50)
+    assert set(asked) <= {30, 31}
+
+
+def test_leaves_nothing_but_the_spans(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared, "shared_dir", lambda _: str(tmp_path))
+    s.covered_spans(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    assert [p.name.split("-")[1] for p in tmp_path.iterdir()] == ["spans"]
+
+
+def test_ids_are_packed():
+    for ids in ([5], [-(2**63), 2**63 - 1, 0], [7, 300, 70000, 7]):
+        ids = np.array(ids, np.int64)
+        assert (s._unpack_ids(s._pack_ids(ids)) == ids).all()
