@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from ..sources import views
 
 # Shares of a line's height and of a page, and sizes in points.
 LINE_BAND = 0.5
@@ -20,6 +27,8 @@ DILATE_X, DILATE_Y = 0.5, 0.8
 SPLIT_GAP = 0.102
 RELIABLE = 0.6
 INK = 0.002
+#: Bytes of text whose words are ordered at once.
+TEXT_BYTES = 4 << 20
 
 
 def middle(values) -> float:
@@ -132,18 +141,69 @@ def order_of(words: list[W], scanned: bool) -> list[int]:
     return [v.at for v in level] + [v.at for r in runs for v in r]
 
 
-def reading_order(word: DataFrame) -> DataFrame:
-    """Word rows with reading_index, one shuffle by page."""
+def page_orders(sizes: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, turn: np.ndarray, scanned: np.ndarray) -> np.ndarray:
+    """W10 to W14 for the words of many pages, page after page: for each place in a page's reading order, which of its words
+    stands there. Pages of one level line without a gap are ordered all at once, the others one by one by order_of."""
+    page = np.repeat(np.arange(len(sizes)), sizes)
+    if not len(page):
+        return page
+    start = np.cumsum(sizes) - sizes
+    new = np.r_[True, page[1:] != page[:-1]]
+    order = np.arange(len(page)) if (new[1:] | (x[1:] >= x[:-1])).all() else np.lexsort((x, page))
+    level = (turn == 0) & (h > 0) & (y == y[start[page]]) & (h == h[start[page]])
+    level &= np.r_[True, x[order][1:] - (x + w)[order][:-1] <= COLUMN_GAP * h[order][1:]] | new
+    out = order - start[page]
+    for k in np.unique(page[~level]):
+        at = slice(start[k], start[k] + sizes[k])
+        words = [W(i, *box) for i, box in enumerate(zip(x[at].tolist(), y[at].tolist(), w[at].tolist(), h[at].tolist(), turn[at].tolist(), strict=True))]
+        out[at] = order_of(words, bool(scanned[k]))
+    return out
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        boxes = rows["bbox"].tolist()
-        turn = lambda b: int(b["rotation"]) if b.get("rotation") is not None and b["rotation"] == b["rotation"] else 0
-        words = [W(int(i), b["x"], b["y"], b["width"], b["height"], turn(b)) for i, b in zip(rows["word_index"], boxes, strict=True)]
-        order = order_of(words, bool((rows["source"] == "ocr").all()))
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "page_index": rows["page_index"].iloc[0], "word_index": order, "reading_index": range(len(order))})
 
-    at = word.select("doc_id", "page_index", "word_index", "bbox", "source").groupBy("doc_id", "page_index").applyInPandas(run, "doc_id long, page_index int, word_index int, reading_index int")
-    return word.join(at, ["doc_id", "page_index", "word_index"])
+def _with_orders(batch: pa.RecordBatch, kept: list[str], sizes: np.ndarray, boxes: list[np.ndarray], scanned: np.ndarray) -> pa.RecordBatch:
+    order = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(page_orders(sizes, *boxes, scanned), pa.int32()))
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), order], names=[*kept, "reading"])
+
+
+def reading_order(word: DataFrame) -> DataFrame:
+    """Word rows with reading_index, one shuffle by page."""
+    columns = word.columns
+    turned = "rotation" in word.schema["bbox"].dataType.fieldNames()
+    each = F.sort_array(F.collect_list(F.struct("word_index", F.struct(*columns).alias("word"))))
+    packed = word.groupBy("doc_id", "page_index").agg(each.alias("words")).select(F.transform("words", lambda v: v["word"]).alias("words"))
+    side = lambda name: F.transform("words", lambda v: v["bbox"][name].cast("double")).alias(name)
+    turn = F.transform("words", lambda v: F.coalesce(v["bbox"]["rotation"].cast("int"), F.lit(0)) if turned else F.lit(0)).alias("turn")
+    asked = packed.select("words", *(side(n) for n in ("x", "y", "width", "height")), turn, F.forall("words", lambda v: v["source"].eqNullSafe("ocr")).alias("scanned"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("x").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            boxes = [batch.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("x", "y", "width", "height", "turn")]
+            yield _with_orders(batch, ["words"], sizes, boxes, batch.column("scanned").to_numpy(zero_copy_only=False))
+
+    ordered = asked.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField("reading", T.ArrayType(T.IntegerType()))]))
+    rows = ordered.select(F.posexplode(F.transform("reading", lambda k: F.col("words")[k])).alias("reading_index", "word"))
+    return rows.select(*(F.col("word")[c].alias(c) for c in columns), "reading_index")
+
+
+def text_reading_order(page: DataFrame) -> DataFrame:
+    """W10 to W14 for pages (doc_id, page_index, text) whose words stand where views.words puts them: (doc_id, page_index,
+    reading), the numbers of a page's words as they are read. Boxes are made from the text at hand, so no word is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # long pages are few at once
+            ends = np.cumsum(pc.binary_length(whole.column("text").cast(pa.large_binary())).to_numpy(zero_copy_only=False)) // TEXT_BYTES
+            cuts = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1], True]) if whole.num_rows else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                batch = whole.slice(a, b - a)
+                sizes, x, width = views.text_boxes(batch.column("text"))
+                turn = np.zeros(len(x), np.int64)
+                boxes = [x, np.full(len(x), views.WORD_Y), width, np.full(len(x), views.WORD_HEIGHT), turn]
+                yield _with_orders(batch, ["doc_id", "page_index"], sizes, boxes, np.zeros(len(sizes), bool))
+
+    kind = page.schema["doc_id"].dataType.simpleString()
+    return page.select("doc_id", "page_index", "text").filter("text IS NOT NULL").mapInArrow(run, f"doc_id {kind}, page_index int, reading array<int>")
 
 
 def large_images(images: DataFrame) -> DataFrame:

@@ -615,8 +615,9 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of a line are read from left to right; mark weighs each word's number by its place."""
     from ..operators import layout
 
-    w = layout.reading_order(views.words(views.pages(docs(spark, sf_dir))))
-    return w.groupBy("doc_id", "page_index").agg(F.sum(F.col("word_index").cast("long") * (F.col("reading_index") + 1)).alias("mark"), F.count("*").alias("n_words"))
+    read = layout.text_reading_order(views.pages(docs(spark, sf_dir)))
+    weighed = F.aggregate(F.transform("reading", lambda word, at: word.cast("long") * (at + 1)), F.lit(0).cast("long"), lambda s, v: s + v)
+    return read.groupBy("doc_id", "page_index").agg(F.sum(weighed).alias("mark"), F.sum(F.size("reading").cast("long")).alias("n_words"))
 
 
 @query("SELECT user_id, max(event_id) AS event_id, max(value) AS value FROM events GROUP BY 1")

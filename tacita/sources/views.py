@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from ..functions import geometry as g
 from ..functions.text import comparable, fold
 
 PAGE_WIDTH, PAGE_HEIGHT = 595.0, 842.0
+WORD_Y, WORD_HEIGHT = 100.0, 12.0
 
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -61,12 +65,24 @@ def words(page: DataFrame) -> DataFrame:
         "text",
         "start",
         (F.col("start") + F.length("text")).alias("end"),
-        g.box(F.col("x"), F.lit(100.0), F.greatest(6.0 * F.length("text"), F.lit(1.0)), F.lit(12.0)).alias("bbox"),
+        g.box(F.col("x"), F.lit(WORD_Y), F.greatest(6.0 * F.length("text"), F.lit(1.0)), F.lit(WORD_HEIGHT)).alias("bbox"),
         F.when(ocr, 0.9).otherwise(1.0).alias("confidence"),
         F.when(ocr, "ocr").otherwise("pdf").alias("source"),
     )
 
 
+def text_boxes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """S3 in Arrow batches: how many words each page has, and the left edges and widths of all of them, as words() has them."""
+    words = pc.split_pattern(texts.cast(pa.large_string()), " ")
+    sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    length = pc.utf8_length(words.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    steps = 6 * length + 10
+    before = np.cumsum(steps) - steps
+    x = 10.0 + (before - np.repeat(before[first], sizes) if len(before) else before)
+    return sizes, x, np.maximum(6.0 * length, 1.0)
+
+
 def span_box(text: Column, start: Column, end: Column) -> Column:
     """J2 without a join: the page text is its words joined by single blanks, so blanks before an offset number the
     words, and the box of the touched words follows from offsets alone."""

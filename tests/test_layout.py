@@ -1,9 +1,14 @@
+import random
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tacita.functions import geometry as g
 from tacita.functions.synth import Draws, synthesize
 from tacita.operators import layout, ner
 from tacita.operators.layout import W
+from tacita.sources import views
 
 
 def test_lines_columns_and_turned_runs():
@@ -59,3 +64,41 @@ def test_false_values_repeat():
         assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert synthesize("s", "CUSTOM", "g", 7) == "custom-7"
     assert 0 <= Draws("x").unit() < 1 and Draws("").state == 0x811C9DC5
+
+
+def test_orders_of_many_pages_are_those_of_each():
+    rng = random.Random(5)
+    pages = []
+    for k in range(120):
+        turns = [0] if k % 3 else [0, 90, 180, 270]
+        flat = k % 2 == 0
+        pages.append([(rng.uniform(0, 300), 100.0 if flat else rng.uniform(0, 60), rng.uniform(1, 90), 12.0 if flat else rng.uniform(5, 15), rng.choice(turns)) for _ in range(rng.randrange(1, 12))])
+    flat = [box for p in pages for box in p]
+    x, y, w, h, turn = (np.array(c) for c in zip(*flat, strict=True))
+    scanned = np.array([k % 5 == 0 for k in range(len(pages))])
+    got = layout.page_orders(np.array([len(p) for p in pages]), x, y, w, h, turn, scanned)
+    assert got.tolist() == [i for p, s in zip(pages, scanned, strict=True) for i in layout.order_of([layout.W(i, *box) for i, box in enumerate(p)], bool(s))]
+
+
+def test_reading_order_moves_no_word_and_joins_none(spark):
+    texts = ["b  aé 𝒳 c", "", " ", "one", "x" * 50 + " y " * 30]
+    docs = spark.createDataFrame([(k, "\n".join(texts[k % 5 :])) for k in range(10)] + [(99, None)], "doc_id long, text string")
+    page = views.pages(docs)
+    by_words = layout.reading_order(views.words(page))
+    assert by_words.columns == [*views.words(page).columns, "reading_index"]
+    expected = {}
+    for r in by_words.orderBy("doc_id", "page_index", "reading_index").collect():
+        expected.setdefault((r.doc_id, r.page_index), []).append(r.word_index)
+    by_text = layout.text_reading_order(page)
+    assert {(r.doc_id, r.page_index): list(r.reading) for r in by_text.collect()} == expected
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(by_text)
+    assert "Join" not in plan(by_words)
+
+
+def test_boxes_of_texts_are_those_of_words(spark):
+    docs = spark.createDataFrame([(1, "b  aé 𝒳 c \n\nlast ")], "doc_id long, text string")
+    rows = views.words(views.pages(docs)).orderBy("page_index", "word_index").collect()
+    sizes, x, width = views.text_boxes(pa.array(["b  aé 𝒳 c ", "", "last "]))
+    assert sizes.sum() == len(rows)
+    assert [(r.bbox.x, r.bbox.width) for r in rows] == list(zip(x.tolist(), width.tolist(), strict=True))
