@@ -14,8 +14,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 0.8 or more of their five-word shingles, the one with the smallest id stays."""
-    return jaccard.keep_one(docs, shingle_words=5, similarity=0.8)
+    """Of each group of documents that share 0.8 or more of their five-word shingles, the one with the smallest id stays.
+    SimHashes within 7 bits are linked and verified; an exact join finds the pairs that are further apart."""
+    return jaccard.keep_one(docs, shingle_words=5, similarity=0.8, radius=7)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of their word shingles: prefix filter, parity sketches, exact verification, one text per group."""
+"""Near copies by the Jaccard similarity of their word shingles: SimHash links, then a prefix filter for the pairs that
+fingerprints can't show; parity sketches, exact verification, one text per group."""
 
 from __future__ import annotations
 
@@ -11,11 +12,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import connected_components
 from .shared import broadcast_if, discard, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Bits in which the 64-bit SimHashes of two sets may differ to be verified in the first round. The result is the same for any number.
+RADIUS = 7
 #: Texts of which shingles are counted to learn which are common, the count from which one is, and how many are held.
 #: They order the shingles; the result is the same for any order.
 SAMPLE_ROWS = 20_000
@@ -76,32 +80,33 @@ def common_shingles(docs: DataFrame, shingle_words: int) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, shingle_words: int, common: np.ndarray, share: Fraction = Fraction(1)) -> DataFrame:
-    """(id, text_hash, node, n, small sketch, wide, shingles): node names the set of n shingles; of them, common ones last, come the first
+    """(id, text_hash, node, n, fp, small sketch, wide, shingles): node names the set of n shingles and fp is its SimHash; of them, common ones last, come the first
     1 - share and one more, which two sets that share `share` of theirs can't both have for themselves (all for 0)."""
     rank = np.argsort(common)
     common = common[rank]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, wide, sets = [], [], [], []
+            nodes, sizes, wide, sets, fps = [], [], [], [], []
             marks = np.zeros((batch.num_rows, SKETCH_WORDS), np.int64)
             for t in batch.column(2).cast(pa.large_binary()):
                 own = shingle_set(t.as_py(), shingle_words)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
                 bits, marks[len(sizes)] = sketch(own)
                 wide.append(bits)
+                fps.append(simhash.majority(own.astype(">i8").view(np.uint8).reshape(-1, 8)))
                 sizes.append(len(own))
                 if len(common) and len(own):
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     held = common[at] == own
                     own = np.concatenate([own[~held], own[held][np.argsort(rank[at[held]])]])
                 sets.append(own[: len(own) + (len(own) * -share.numerator) // share.denominator + 1])
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).astype(np.int64)), pa.array(sizes, pa.int32())]
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).astype(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(fps), ">i8").astype(np.int64))]
             columns += [*(pa.array(marks[:, k].copy()) for k in range(SKETCH_WORDS)), _lists(wide), _lists(sets)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "n", *SKETCH, "wide", "shingles"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "n", "fp", *SKETCH, "wide", "shingles"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"id {kind}, text_hash long, node long, n int, {', '.join(f'{c} long' for c in SKETCH)}, wide array<long>, shingles array<long>")
+    return docs.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"id {kind}, text_hash long, node long, n int, fp long, {', '.join(f'{c} long' for c in SKETCH)}, wide array<long>, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle_words: int, share: Fraction) -> DataFrame:
@@ -166,23 +171,48 @@ def _settled(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, reps: D
     if not rest.take(1):
         return links
     groups = written(connected_components(links), "groups")
-    for end in ("a", "b"):
-        rest = rest.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
-    rest = written(rest.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"), "rest")
+    rest = written(_across(rest, groups), "rest")
     links = links.unionByName(_verified(rest, docs, reps, shingle_words, share)) if rest.take(1) else links
     for done in (best, groups, rest):
         discard(done)
     return links
 
 
-def near_links(docs: DataFrame, prefixes: DataFrame, reps: DataFrame, shingle_words: int, share: Fraction) -> DataFrame:
-    """docs(id, text), prefixes as of shingled() of one text a node, reps(node, id, text_hash, n, sketches) -> links
+def fingerprint_pairs(reps: DataFrame, radius: int) -> DataFrame:
+    """reps(node, fp) -> pairs (a, b), a < b, that connect every two nodes whose fingerprints differ in at most `radius`
+    bits: blocks and bit planes between different fingerprints, the least node to all others of an equal one."""
+    nodes = written(reps.groupBy("fp").agg(F.min("node").alias("node")), "fps")
+    equal = reps.select("fp", F.col("node").alias("b")).join(nodes.select("fp", F.col("node").alias("a")), "fp").filter("a <> b").select("a", "b")
+    pairs = simhash.near_links(nodes, radius).unionByName(equal)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _sketched(pairs: DataFrame, reps: DataFrame, share: Fraction) -> DataFrame:
+    """(a, b, apart): those of pairs(a, b) whose sketches leave room for the similarity."""
+    for columns, apart in ((("n", *SKETCH), _apart("a_", "b_")), (("n", "wide"), _wide_apart("a_", "b_"))):
+        for end in ("a", "b"):
+            pairs = pairs.join(reps.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns)), end)
+        pairs = pairs.filter(_close("a_", "b_", apart, share)).select("a", "b", apart.alias("apart"))
+        pairs = pairs if "wide" in columns else pairs.select("a", "b")
+    return pairs
+
+
+def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose nodes are in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
+    return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
+def near_links(docs: DataFrame, prefixes: DataFrame, reps: DataFrame, shingle_words: int, share: Fraction, radius: int = RADIUS) -> DataFrame:
+    """docs(id, text), prefixes as of shingled() of one text a node, reps(node, id, text_hash, n, fp, sketches) -> links
     (a, b) that connect every two nodes whose sets have a Jaccard similarity of `share` or more.
 
-    Each of two such sets has that share of its shingles in the other, so their prefixes have one in common. Nodes that
-    share one meet there twice: first with their neighbours, by size and in an order of the shingle's own, so that each
-    node of a large group gets some partners at every shingle and few pairs join the group; then all that are not yet
-    connected. Pairs whose sizes, places or sketches rule out the similarity go; all others are verified."""
+    The links of the SimHashes are verified in the first round. At a similarity of 0.8 fingerprints differ in ten bits or so,
+    so what they can't show is found by an exact way: each of two such sets has that share of its shingles in the other, so
+    their prefixes have one in common. Nodes that share one meet there twice: first with their neighbours, by size and in an
+    order of the shingle's own, so that each node of a large group gets some partners at every shingle and few pairs join
+    the group; then all that are not yet connected. Pairs whose sizes, places or sketches rule out the similarity go; all others are verified."""
     postings = prefixes.select("node", "n", F.posexplode("shingles").alias("at", "h"))
     postings = written(postings.withColumn("rows", F.count("*").over(Window.partitionBy("h"))).filter("rows > 1").drop("rows"), "postings")
 
@@ -193,13 +223,9 @@ def near_links(docs: DataFrame, prefixes: DataFrame, reps: DataFrame, shingle_wo
     chain = postings.withColumns({"u": before(by_size), "v": before(by_chance)})
     chain = chain.select(F.col("node").alias("p_node"), F.col("n").alias("p_n"), F.col("at").alias("p_at"), F.explode(F.array("u", "v")).alias("q")).select("p_node", "p_n", "p_at", "q.*")
     chain = chain.filter((F.col("p_node") != F.col("q_node")) & _fits("p_", "q_", share))
-    chain = chain.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct()
-    for columns, apart in ((("n", *SKETCH), _apart("a_", "b_")), (("n", "wide"), _wide_apart("a_", "b_"))):
-        for end in ("a", "b"):
-            chain = chain.join(reps.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns)), end)
-        chain = chain.filter(_close("a_", "b_", apart, share)).select("a", "b", apart.alias("apart"))
-        chain = chain if "wide" in columns else chain.select("a", "b")
-    chain = written(chain, "chain")
+    chain = chain.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b"))
+    chain = chain.unionByName(fingerprint_pairs(reps.select("node", "fp"), radius)).distinct()
+    chain = written(_sketched(chain, reps, share), "chain")
     links = _settled(chain, None, docs, reps, shingle_words, share)
 
     groups = written(connected_components(links), "groups")
@@ -220,7 +246,7 @@ def near_links(docs: DataFrame, prefixes: DataFrame, reps: DataFrame, shingle_wo
     return links
 
 
-def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs without the rows whose group holds a smaller id; texts whose shingles have at least that Jaccard similarity
     are linked, and links connect groups. No pair is missed.
 
@@ -230,11 +256,11 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: fl
     share = Fraction(str(similarity))
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     every = written(shingled(plain, shingle_words, common_shingles(plain, shingle_words), share), "shingles")
-    rep = F.min(F.struct("id", "text_hash", "n", *SKETCH, "wide")).alias("rep")
+    rep = F.min(F.struct("id", "text_hash", "n", "fp", *SKETCH, "wide")).alias("rep")
     reps = written(every.groupBy("node").agg(rep).select("node", "rep.*"), "reps")
     one = broadcast_if(reps.select(F.col("node").alias("__n"), F.col("id").alias("__id"), F.col("text_hash").alias("__hash")), BROADCAST_ROWS)
     prefixes = every.join(one, (F.col("node") == F.col("__n")) & F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_semi")
-    groups = connected_components(near_links(plain, prefixes, reps, shingle_words, share))
+    groups = connected_components(near_links(plain, prefixes, reps, shingle_words, share, radius))
     least = every.groupBy("node").agg(F.min("id").alias("least")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = written(least, "least")
     classes = least.join(least.groupBy("component").agg(F.min("least").alias("first")), "component").select("node", "first")

@@ -31,7 +31,12 @@ def fingerprint_bytes(text: bytes | None, shingle_words: int = 3) -> bytes:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle_words)), strict=False))
         n = len(words) - shingle_words + 1
-    hashes = np.frombuffer(b"".join([digest(s, 42) for s in shingles]), np.uint8).reshape(n, 8)
+    return majority(np.frombuffer(b"".join([digest(s, 42) for s in shingles]), np.uint8).reshape(n, 8))
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """The bits that are set in over half of the hashes, given as rows of 8 bytes; none for no hashes."""
+    n = len(hashes)
     set_bits = np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
         set_bits += np.unpackbits(hashes[at : at + CHUNK], axis=1).sum(0, dtype=np.int64)

@@ -3,10 +3,11 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from tacita.llm import jaccard  # noqa: E402
+from tacita.llm import jaccard, simhash  # noqa: E402
 
 
 def shingles(text, k=5):
@@ -98,3 +99,37 @@ def test_long_texts_and_chains_about_the_limit(spark):
             words += [rng.choice(vocab) for _ in range(rng.randrange(step))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == kept(rows)
+
+
+def bits(text):
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles(text)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_stage_verifies_the_links_of_simhashes(spark, monkeypatch):
+    rows = [(i, t) for i, t in corpus() if t and t.strip()]
+    made, verified, near = [], [], simhash.near_links
+
+    def links_of(nodes, radius):
+        own = {r.node: r.fp for r in nodes.collect()}
+        out = near(nodes, radius)
+        made.extend((own[r.a], own[r.b]) for r in out.collect())
+        return out
+
+    check = jaccard._verified
+    monkeypatch.setattr(simhash, "near_links", links_of)
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: verified.append(bool(made)) or check(pairs, *rest))
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == kept(rows)
+    assert made and all(verified)
+    prints = {bits(t) for _, t in rows}
+
+    def classes(pairs):
+        group = {p: p for p in prints}
+        for a, b in pairs:
+            x, y = group[a], group[b]
+            group = {p: min(x, y) if g in (x, y) else g for p, g in group.items()} if x != y else group
+        return group
+
+    close = [(a, b) for a, b in itertools.combinations(sorted(prints), 2) if (a ^ b).bit_count() <= 7]
+    assert close and classes((a % (1 << 64), b % (1 << 64)) for a, b in made) == classes(close)
